@@ -5,20 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import quality_rules, simhash
+from tidelog.llm import bpe, language_id, quality_rules, simhash
 from tidelog.llm.common import table
 
 
+#: The folder of public vocabulary files; they are read where they lie.
+TOKENIZERS = "/opt/tokenizers"
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(table(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    model = language_id.learn(docs, f"{TOKENIZERS}/piece_bpe_32k.model", ~held_out)
+    return language_id.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rules = quality_rules.learn(docs, table(spark, sf_dir, "labels"))
     return quality_rules.apply(docs, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op7_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_simhash, op3_language_id, op5_bpe, op7_quality_rules)}
 
 ORACLE_SQL: dict[str, str] = {}
