@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import bpe, language_id, quality_rules, simhash
+from tidelog.llm import bpe, language_id, quality_rules, simhash, toxicity
 from tidelog.llm.common import table
 
 
@@ -13,6 +13,12 @@ from tidelog.llm.common import table
 TOKENIZERS = "/opt/tokenizers"
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, remainder = table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"), remainder != 0)
+    return toxicity.score(docs, model).select("doc_id", F.coalesce(remainder == 0, F.lit(False)).alias("held_out"), "score", "predicted", "threshold", "flagged")
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(table(spark, sf_dir, "documents"))
 
@@ -34,6 +40,6 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply(docs, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_language_id, op5_bpe, op7_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_language_id, op5_bpe, op7_quality_rules)}
 
 ORACLE_SQL: dict[str, str] = {}
