@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import bpe, language_id, quality_rules, simhash, toxicity
-from tidelog.llm.common import table
+from tidelog.llm import bpe, language_id, quality_rules, simhash, suffix_dedup, toxicity, warc
+from tidelog.llm.common import scratch, table
 
 
 #: The folder of public vocabulary files; they are read where they lie.
@@ -40,6 +40,14 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply(docs, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_language_id, op5_bpe, op7_quality_rules)}
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, table(spark, sf_dir, "pages"), scratch(spark, "warc"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_language_id, op5_bpe, op7_quality_rules, op9_suffix_dedup, op10_warc)}
 
 ORACLE_SQL: dict[str, str] = {}
