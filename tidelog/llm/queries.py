@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import bpe, language_id, quality_rules, simhash, suffix_dedup, toxicity, warc
+from tidelog.llm import bpe, decontaminate, language_id, line_dedup, quality_rules, simhash, suffix_dedup, toxicity, warc
 from tidelog.llm.common import scratch, table
 
 
@@ -34,12 +34,20 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rules = quality_rules.learn(docs, table(spark, sf_dir, "labels"))
     return quality_rules.apply(docs, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(table(spark, sf_dir, "documents"))
 
@@ -48,6 +56,6 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages"), scratch(spark, "warc"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_language_id, op5_bpe, op7_quality_rules, op9_suffix_dedup, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_language_id, op5_bpe, op6_decontaminate, op7_quality_rules, op8_line_dedup, op9_suffix_dedup, op10_warc)}
 
 ORACLE_SQL: dict[str, str] = {}
