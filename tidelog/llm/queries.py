@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import bpe, decontaminate, language_id, line_dedup, quality_rules, simhash, suffix_dedup, toxicity, warc
+from tidelog.llm import bpe, decontaminate, language_id, line_dedup, quality_rules, simhash, suffix_dedup, toxicity, url_filter, warc
 from tidelog.llm.common import scratch, table
 
 
@@ -30,6 +30,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
 
@@ -56,6 +60,6 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages"), scratch(spark, "warc"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_language_id, op5_bpe, op6_decontaminate, op7_quality_rules, op8_line_dedup, op9_suffix_dedup, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_language_id, op4_url_filter, op5_bpe, op6_decontaminate, op7_quality_rules, op8_line_dedup, op9_suffix_dedup, op10_warc)}
 
 ORACLE_SQL: dict[str, str] = {}

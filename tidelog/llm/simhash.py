@@ -59,7 +59,7 @@ def majority(hashes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.nd
     return np.packbits(2 * votes > sizes[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
 
 
-def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _fingerprint_batches(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = np.zeros(batch.num_rows, np.uint64)
         held: list[int] = []
@@ -73,7 +73,7 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
                 held.clear(), rows.clear(), starts.clear()
 
         for k, text in enumerate(batch.column(1)):
-            if found := shingle_hashes(text.as_py() or b""):
+            if found := shingle_hashes(text.as_py() or b"", width):
                 if len(found) > _FLUSH:
                     out[k] = _long(found)
                     continue
@@ -94,10 +94,10 @@ def _long(found: list[int]) -> np.uint64:
     return np.packbits(2 * votes > len(found)).view(">u8")[0].astype(np.uint64)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
     """(_id, _fp bigint) for every row; one narrow pass."""
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text")).mapInArrow(_fingerprint_batches, f"_id {kind}, _fp bigint")
+    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text")).mapInArrow(lambda b: _fingerprint_batches(width, b), f"_id {kind}, _fp bigint")
 
 
 def _blocks(budget: int) -> list[tuple[int, int]]:
@@ -242,9 +242,9 @@ def links(distinct: DataFrame, budget: int = BUDGET) -> DataFrame:
         rows = step.select(F.xxhash64("cell", one, two).alias("cell"), F.col("to").cast("int").alias("side"), "err", (F.col("depth") + STEP).cast("int").alias("depth"), "key", "fp")
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET) -> DataFrame:
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET, width: int = SHINGLE) -> DataFrame:
     """(id_col, fingerprint hex, component_id) for every row."""
-    prints = cut(fingerprints(docs, id_col, text_col))
+    prints = cut(fingerprints(docs, id_col, text_col, width))
     nodes = prints.groupBy(F.col("_fp").alias("fp")).agg(F.min("_id").alias("first"))
     nodes = cut(nodes)
     roots = connected_components(links(nodes.select("fp"), budget))
@@ -254,7 +254,29 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET) -> DataFrame:
-    """The rows of ``docs`` whose id names their component; of rows with equal ids and texts all stay or go."""
-    first = components(docs, id_col, text_col, budget).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_first")).distinct()
-    return docs.join(first, docs[id_col] == first["_first"], "left_semi")
+def jaccard(a: bytes, b: bytes, width: int) -> float:
+    """Of the two texts' sets of shingles; two texts without words are equal."""
+    x, y = set(shingle_hashes(a, width)), set(shingle_hashes(b, width))
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET, width: int = SHINGLE, least: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` without those that copy the first document of their component.
+
+    A document goes if the shingles of its text and of that document's have a Jaccard similarity of ``least`` or
+    more, so a chain of small changes takes nothing that is not a copy. Rows with one id stay or go together; rows
+    with a null id stay.
+    """
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            same = [a.as_py() == b.as_py() or jaccard(a.as_py() or b"", b.as_py() or b"", width) >= least for a, b in zip(batch.column(1), batch.column(2), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(same, pa.bool_()))], ["_gone"])
+
+    found = components(docs, id_col, text_col, budget, width).select(F.col(id_col).alias("_id"), "component_id")
+    members = cut(found.where(F.col("_id") != F.col("component_id")).distinct())
+    texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("_text"))
+    heads = members.select(F.col("component_id").alias("_id")).distinct().join(texts, "_id").groupBy(F.col("_id").alias("component_id")).agg(F.min("_text").alias("_head"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    gone = members.join(texts, "_id").join(heads, "component_id").select("_id", "_text", "_head").mapInArrow(alike, f"_gone {kind}").distinct()
+    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
