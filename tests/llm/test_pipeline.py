@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
-from tidelog.llm import decontaminate
+from tidelog.llm import decontaminate, simhash
 from tidelog.llm.queries import TOKENIZERS
 
 
@@ -19,10 +21,10 @@ def test_stages(spark, tmp_path):
     docs = [(i, "\n".join(say(30) for _ in range(4))) for i in range(60)]
     docs += [(100, "too short"), (101, None), (102, "same words again and again " * 30)]
     docs.append((103, docs[5][1] + "\n" + say(20)))  # its first lines are those of 5
-    near = say(300).split(" ")
-    docs.append((104, " ".join(near)))
-    near[3] = "changed"
-    docs.append((105, " ".join(near)))
+    text = say(300)
+    bits = lambda t: int(simhash.majority(np.array(h := simhash.shingle_hashes(t.encode(), 5), np.uint64), np.array([0]), np.array([len(h)]))[0])
+    copies = (" ".join([*w[:k], "changed", *w[k + 1 :]]) for k in range(300) if (w := text.split(" ")))
+    docs += [(104, text), (105, next(t for t in copies if (bits(t) ^ bits(text)).bit_count() <= 2))]
     docs.append((106, say(40) + " " + item + " " + say(40)))
     docs += [(200 + i, "\n".join(" ".join(w + "$$$" for w in say(30).split(" ")) for _ in range(3))) for i in range(30)]
     spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in docs], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")

@@ -233,7 +233,7 @@ def links(distinct: DataFrame, budget: int = BUDGET) -> DataFrame:
         if rows.where("hot").limit(1).count() == 0:
             return out.distinct()
         now = F.shiftrightunsigned(F.expr("shiftleft(key, depth)"), BITS - STEP)
-        step = rows.where("hot").withColumn("a", now).withColumn("m", F.explode(F.array(*map(F.lit, masks))).cast("bigint"))
+        step = rows.where("hot").withColumn("a", now).withColumn("m", F.explode(F.array(*[F.lit(m).cast("bigint") for m in masks])))
         step = step.withColumn("b", F.col("a").bitwiseXOR(F.col("m"))).withColumn("err", (F.col("err") + F.bit_count("m")).cast("int")).where(F.col("err") <= budget)
         same = (F.col("side") == 0) & (F.col("m") == 0)
         side = F.when(same, 0).when(F.col("side") != 0, F.col("side")).when(F.col("a") < F.col("b"), 1).otherwise(2)
