@@ -34,8 +34,10 @@ def upper_edge(index: Column, bits: int = REPORT_BITS) -> Column:
     return F.when(index < sub, index.cast("bigint")).otherwise(edge)
 
 
-def histogram(rows: DataFrame, value: str, bits: int = REPORT_BITS) -> DataFrame:
-    return rows.where(F.col(value).isNotNull()).groupBy(bucket(F.col(value), bits).alias("bucket")).agg(F.count("*").alias("cnt"))
+def histogram(rows: DataFrame, value: str, bits: int = REPORT_BITS, with_top: bool = False) -> DataFrame:
+    """(bucket, cnt); ``with_top`` adds each bucket's largest value, which caps percentiles."""
+    more = [F.max(value).alias("top")] if with_top else []
+    return rows.where(F.col(value).isNotNull()).groupBy(bucket(F.col(value), bits).alias("bucket")).agg(F.count("*").alias("cnt"), *more)
 
 
 def merge(*parts: DataFrame) -> DataFrame:
@@ -49,13 +51,14 @@ def _running(hist: DataFrame) -> DataFrame:
     return hist.withColumn("below", F.sum("cnt").over(rising)).withColumn("total", F.sum("cnt").over(Window.partitionBy(F.lit(0))))
 
 
-def percentiles(hist: DataFrame, ps: tuple[float, ...], bits: int = REPORT_BITS, largest: int | Column | None = None) -> DataFrame:
-    """(p, value): the upper edge of the bucket with the nearest rank, at most ``largest``."""
+def percentiles(hist: DataFrame, ps: tuple[float, ...], bits: int = REPORT_BITS) -> DataFrame:
+    """(p, value): the upper edge of the bucket with the nearest rank, at most the largest ``top`` if the histogram has it."""
+    cap = F.max("top").over(Window.partitionBy(F.lit(0))) if "top" in hist.columns else F.lit(None).cast("bigint")
+    hist = hist.withColumn("cap", cap)
     ranked = _running(hist).withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in ps])))
     rank = F.greatest(F.ceil(F.col("p") / 100 * F.col("total")), F.lit(1))
-    hit = ranked.where(F.col("below") >= rank).groupBy("p").agg(F.min("bucket").alias("bucket"))
-    edge = upper_edge(F.col("bucket"), bits)
-    return hit.select("p", (edge if largest is None else F.least(edge, largest if isinstance(largest, Column) else F.lit(largest))).cast("bigint").alias("value"))
+    hit = ranked.where(F.col("below") >= rank).groupBy("p").agg(F.min("bucket").alias("bucket"), F.min("cap").alias("cap"))
+    return hit.select("p", F.least(upper_edge(F.col("bucket"), bits), "cap").cast("bigint").alias("value"))
 
 
 def cdf(hist: DataFrame, bits: int = REPORT_BITS) -> DataFrame:

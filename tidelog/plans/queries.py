@@ -348,9 +348,7 @@ _PS = (50.0, 90.0, 95.0, 99.0, 99.9, 100.0)
 
 @query(f"WITH {hist_sql(7)}, p AS (SELECT unnest([50.0, 90.0, 95.0, 99.0, 99.9, 100.0])::DOUBLE AS p), x AS (SELECT p, min(bucket) AS b FROM p, r WHERE below >= greatest(ceil(p / 100 * total), 1) GROUP BY p) SELECT p, CAST(least({edge_sql('b', 7)}, (SELECT max(v) FROM v)) AS BIGINT) AS value FROM x")
 def hdr_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    largest = inputs.latencies(spark, d).agg(F.max("v").alias("top"))
-    ps = histogram.percentiles(_hist(spark, d), _PS)
-    return ps.crossJoin(largest).select("p", F.least("value", "top").alias("value"))  # one row a percentile against one
+    return histogram.percentiles(histogram.histogram(inputs.latencies(spark, d), "v", with_top=True), _PS)
 
 
 @query(f"WITH {hist_sql(5)}, p AS (SELECT unnest([50.0, 90.0, 95.0, 99.0, 99.9, 100.0])::DOUBLE AS p), x AS (SELECT p, min(bucket) AS b FROM p, r WHERE below >= greatest(ceil(p / 100 * total), 1) GROUP BY p) SELECT p, CAST({edge_sql('b', 5)} AS BIGINT) AS value FROM x")

@@ -161,20 +161,16 @@ def bloom_theory(bits_per_key: Column) -> Column:
 
 def bloom_sweep(spark: SparkSession, keys: int, lookups: int, bits: tuple[int, ...] = (4, 6, 8, 10, 14)) -> DataFrame:
     """(bits, measured, theory): false matches of absent keys against filters over even keys."""
-    rows = []
-    for b in bits:
-        bloom = codecs.bloom_build([b"key%010d" % (2 * i) for i in range(keys)], b)
-        rows.append((b, bytearray(bloom)))
-    filters = spark.createDataFrame(rows, "bits int, bloom binary")
+    filters = {b: codecs.bloom_build([b"key%010d" % (2 * i) for i in range(keys)], b) for b in bits}
 
     @pandas_udf("boolean")
-    def match(key: pd.Series, bloom: pd.Series) -> pd.Series:
+    def match(key: pd.Series, size: pd.Series) -> pd.Series:
         out = np.zeros(len(key), bool)
-        for b in bloom.unique() if len(bloom) else []:
-            on = (bloom == b).to_numpy()
-            out[on] = codecs.bloom_may_match([bytes(k) for k in key[on]], bytes(b))
+        for b, bloom in filters.items():
+            on = (size == b).to_numpy()
+            out[on] = codecs.bloom_may_match([bytes(k) for k in key[on]], bloom)
         return pd.Series(out)
 
     asked = spark.range(lookups).select(F.format_string("key%010d", 2 * F.pmod(F.col("id") * 7919, F.lit(keys)) + 1).cast("binary").alias("key"))
-    pairs = asked.crossJoin(F.broadcast(filters))  # a handful of filters
-    return pairs.groupBy("bits").agg(F.avg(match("key", "bloom").cast("double")).alias("measured")).withColumn("theory", bloom_theory(F.col("bits")))
+    asked = asked.withColumn("bits", F.explode(F.array(*map(F.lit, bits))))
+    return asked.select("bits", match("key", "bits").cast("double").alias("hit")).groupBy("bits").agg(F.avg("hit").alias("measured")).withColumn("theory", bloom_theory(F.col("bits")))
