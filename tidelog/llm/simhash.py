@@ -225,8 +225,8 @@ def links(distinct: DataFrame, budget: int = BUDGET) -> DataFrame:
     while True:
         sizes = rows.groupBy("cell").agg(F.count("*").alias("n"), F.min("side").alias("lo"), F.max("side").alias("hi"), F.max("depth").alias("at"))
         # A cell with one node of a pair has no links; one whose bits are all read has at most a link.
-        sizes = sizes.where("n > 1 and (hi = 0 or lo < hi)").withColumn("hot", (F.col("n") > CELL) & (F.col("at") + STEP <= BITS))
-        rows = cut(rows.join(sizes.select("cell", "hot"), "cell"))
+        sizes = cut(sizes.where("n > 1 and (hi = 0 or lo < hi)").select("cell", ((F.col("n") > CELL) & (F.col("at") + STEP <= BITS)).alias("hot")))
+        rows = cut(rows.join(sizes, "cell"))
         cold = rows.where("not hot").drop("hot")
         found = cold.repartition("cell").sortWithinPartitions("cell").mapInArrow(lambda b: _walk_cells(budget, b), "u bigint, v bigint")
         out = found if out is None else out.union(found)
