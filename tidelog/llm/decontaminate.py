@@ -74,9 +74,11 @@ class Items:
     def mark_rare(self, frequency: np.ndarray) -> None:
         """``frequency``: documents with each of ``seeds``."""
         f = np.repeat(frequency, self.times)
-        for k in range(len(self.ids)):
-            on = self.item == k
-            self.rare[on] = f[on] <= max(RARE, 4 * np.quantile(f[on], 0.25))
+        order = np.lexsort((f, self.item))
+        item, each = self.item[order], np.arange(len(self.ids))
+        first, end = np.searchsorted(item, each), np.searchsorted(item, each, "right")
+        quartile = f[order][first + (end - first - 1) // 4] if len(self.ids) else f
+        self.rare = f <= np.maximum(RARE, 4 * quartile)[self.item]
 
     def read(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """A text's word numbers (0: in no item), and the place and seed of each window that is a seed."""
