@@ -375,8 +375,8 @@ def test_banded_distance(spark, threshold):
     r = random.Random(threshold)
     pairs = [(a := "".join(r.choice("abé") for _ in range(r.randint(8, 30))), edited(r, a, 4)) for _ in range(150)]
     df = spark.createDataFrame(pairs, "s string, t string").where(F.abs(F.char_length("s") - F.char_length("t")) <= threshold)
-    for x in df.withColumn("d", line_dedup.banded_distance(F.col("s"), F.col("t"), threshold)).collect():
-        assert min(x["d"], threshold + 1) == min(distance(x["s"], x["t"]), threshold + 1)
+    for x in df.select("s", "t", line_dedup.banded_distance(F.col("s"), F.col("t"), threshold).alias("d"), line_dedup.edit_distance(F.col("s"), F.col("t"), threshold).alias("e")).collect():
+        assert min(x["d"], threshold + 1) == min(x["e"], threshold + 1) == min(distance(x["s"], x["t"]), threshold + 1)
 
 
 @pytest.mark.parametrize(("threshold", "hot"), [(1, 10_000), (1, 20), (2, 200)])

@@ -96,8 +96,9 @@ def candidates(lines: DataFrame, threshold: int = THRESHOLD, hot: int = HOT) ->
     """(a, b), a < b: ids of lines that may be within the threshold; all that are, are among them."""
     rows, level, out = _keys(lines, threshold), 0, []
     while True:
-        sizes = rows.groupBy("key").agg(F.sum(1 - F.col("role")).alias("own"), F.sum("role").alias("others"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.min(F.when(F.col("role") == 0, F.col("n"))).alias("n0"))
-        sizes = sizes.where("lo < hi and own > 0 and others > 0").select("key", (F.col("own") * F.col("others") > hot).alias("hot"))
+        sizes = rows.groupBy("key").agg(F.sum(1 - F.col("role")).alias("own"), F.sum("role").alias("others"), F.min("id").alias("lo"), F.max("id").alias("hi"))
+        # Written first, so that the join shuffles both sides for itself and Spark can split a key with many rows.
+        sizes = cut(sizes.where("lo < hi and own > 0 and others > 0").select("key", (F.col("own") * F.col("others") > hot).alias("hot")))
         rows = cut(rows.join(sizes, "key"))
         if level:  # hardly anything left: these differ at one place and are few
             rows = rows.withColumn("hot", F.col("hot") & (F.char_length("text") - F.col("n") > 2 * threshold + 1))
@@ -118,16 +119,40 @@ def _let(value: Column, use) -> Column:  # noqa: ANN001
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def _same_start(a: Column, b: Column) -> Column:
+    """How many code points two strings have in common from the start; the shorter one's length and more if they are equal."""
+    differ = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: ~x.eqNullSafe(y))
+    return F.coalesce(F.nullif(F.array_position(differ, F.lit(True)), F.lit(0)) - 1, F.char_length(a)).cast("int")
+
+
+def edit_distance(a: Column, b: Column, threshold: int) -> Column:
+    """``banded_distance`` of what is left of two strings without their common start and end.
+
+    threshold + 1 code points stay on the left, which the band needs; the strings have 2 * threshold + 2 or more.
+    """
+    m, n = F.char_length(a), F.char_length(b)
+
+    def middle(start: Column, end: Column) -> Column:
+        skip = F.greatest(F.lit(0), start - (threshold + 1))
+        end = F.least(end, F.least(m, n) - F.greatest(start, skip + threshold + 1))
+        return F.struct(F.substring(a, skip + 1, m - skip - end).alias("a"), F.substring(b, skip + 1, n - skip - end).alias("b"))
+
+    both = _let(_same_start(a, b), lambda start: _let(_same_start(F.reverse(a), F.reverse(b)), lambda end: middle(start, end)))
+    return _let(both, lambda mid: banded_distance(mid["a"], mid["b"], threshold))
+
+
 def banded_distance(a: Column, b: Column, threshold: int) -> Column:
     """Edit distance of strings of more than ``threshold`` code points whose lengths differ by no more; above the threshold, some value above it.
 
     Bit-parallel over a band of 2 * threshold + 1 rows, after Hyyrö (2003): bit k of a column's vectors is row
     column - threshold + k. The distance follows the band's lowest diagonal, then the last row.
     """
+    return _let(F.split(a, ""), lambda p: _let(F.split(b, ""), lambda t: _banded(p, t, F.size(p), F.size(t), threshold)))
+
+
+def _banded(p: Column, t: Column, m: Column, n: Column, threshold: int) -> Column:
     width = 2 * threshold + 1
     mask, top = (1 << width) - 1, width - 1
-    p, t = F.split(a, ""), F.split(b, "")
-    m, n = F.char_length(a), F.char_length(b)
 
     def equal(j: Column) -> Column:
         """Which rows of the band hold the column's character."""
@@ -169,7 +194,7 @@ def links(lines: DataFrame, threshold: int = THRESHOLD, hot: int = HOT) -> DataF
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     text = cut(lines.join(ids, "id", "left_semi").select("id", "line"))
     both = pairs.join(text.select(F.col("id").alias("a"), F.col("line").alias("s")), "a").join(text.select(F.col("id").alias("b"), F.col("line").alias("t")), "b")
-    return both.where(_alike(threshold)).where(banded_distance(F.col("s"), F.col("t"), threshold) <= threshold).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    return both.where(_alike(threshold)).where(edit_distance(F.col("s"), F.col("t"), threshold) <= threshold).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
 def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -193,7 +218,7 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     grouped = lines.join(roots, lines.id == roots.node).select("id", "root", "first")
     linked = grouped.join(grouped.groupBy("root").agg(F.min("first").alias("keep")), "root").select("id", "keep")
     alone = lines.where("times > 1").select("id", F.col("first").alias("keep"))
-    known = linked.union(alone).groupBy("id").agg(F.min("keep").alias("keep"))
+    known = cut(linked.union(alone).groupBy("id").agg(F.min("keep").alias("keep")))
     gone = rows.select("doc", "of", "line_no", "place", "id").join(known, "id").where("place <> keep")
     return gone.groupBy("doc", "of").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
 
