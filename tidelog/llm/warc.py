@@ -29,6 +29,8 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelog.llm.common import cut
+
 MAX_GAP, MAX_READ, BUFFER = 1 << 16, 1 << 23, 1 << 22
 DATE = "2024-01-01T00:00:00Z"
 _INDEX = "page_id bigint, url string, file string, offset bigint, length bigint, digest string, record_type string"
@@ -110,7 +112,8 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"))
     rows = rows.withColumn("sha", F.unhex(F.sha1("payload")))
     large = F.octet_length("payload") >= min_bytes
-    first = rows.where(large).groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("times")).where("times > 1").drop("times")
+    # Written first, so that the join shuffles both sides for itself and Spark can split a hot payload.
+    first = cut(rows.where(large).groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("times")).where("times > 1").drop("times"))
     refers: Column = F.when(large & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
     rows = rows.join(first, "sha", "left").select("page_id", "url", "payload", refers.alias("refers_to"))
     rows.mapInArrow(_writer(folder), _INDEX).write.parquet(f"{folder}/index")
