@@ -57,7 +57,14 @@ def _index(text: Column, size: Column, seed: Column, threshold: int) -> Column:
 
 
 def _row(seed: Column, size: Column, i: int, text: Column, start: Column, n: Column, role: int, delta: int) -> Column:
-    return F.struct(F.xxhash64(seed, size.cast("int"), F.lit(i), F.substring(text, start + 1, n)).alias("key"), F.lit(role).alias("role"), F.lit(delta).alias("delta"), start.alias("start"), n.alias("n"))
+    """The key, and where it lies: role, delta, start and length in one number, as these rows are the bulk of the shuffle."""
+    tag = F.shiftleft(_long(n), 32).bitwiseOR(F.shiftleft(_long(start), 6)).bitwiseOR(_long(role + 2 * delta))
+    return F.struct(F.xxhash64(seed, size.cast("int"), F.lit(i), F.substring(text, start + 1, n)).alias("key"), tag.alias("tag"))
+
+
+def _unpacked(rows: DataFrame) -> DataFrame:
+    part = lambda shift, bits: F.shiftright("tag", shift).bitwiseAND(_long((1 << bits) - 1)).cast("int")
+    return rows.withColumns({"role": part(0, 1), "delta": part(1, 5), "start": part(6, 26), "n": part(32, 31)}).drop("tag")
 
 
 def _probe(text: Column, size: Column, seed: Column, threshold: int, delta: int) -> list[Column]:
@@ -96,10 +103,11 @@ def candidates(lines: DataFrame, threshold: int = THRESHOLD, hot: int = HOT) ->
     """(a, b), a < b: ids of lines that may be within the threshold; all that are, are among them."""
     rows, level, out = _keys(lines, threshold), 0, []
     while True:
-        sizes = rows.groupBy("key").agg(F.sum(1 - F.col("role")).alias("own"), F.sum("role").alias("others"), F.min("id").alias("lo"), F.max("id").alias("hi"))
+        role = F.col("tag").bitwiseAND(_long(1))
+        sizes = rows.groupBy("key").agg(F.sum(1 - role).alias("own"), F.sum(role).alias("others"), F.min("id").alias("lo"), F.max("id").alias("hi"))
         # Written first, so that the join shuffles both sides for itself and Spark can split a key with many rows.
         sizes = cut(sizes.where("lo < hi and own > 0 and others > 0").select("key", (F.col("own") * F.col("others") > hot).alias("hot")))
-        rows = cut(rows.join(sizes, "key"))
+        rows = _unpacked(cut(rows.join(sizes, "key")))
         if level:  # hardly anything left: these differ at one place and are few
             rows = rows.withColumn("hot", F.col("hot") & (F.char_length("text") - F.col("n") > 2 * threshold + 1))
         cold = rows.where("not hot")
