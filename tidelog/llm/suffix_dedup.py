@@ -29,13 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import scratch
+from tidelog.llm.common import cut, scratch
 
-WINDOW, GRAM, CHUNK = 200, 32, 4096
+#: A group holds at most about CHUNK contexts of 368 bytes, 24 MB.
+WINDOW, GRAM, CHUNK = 200, 32, 65536
 SIDE = WINDOW - GRAM
 #: Bytes of text hashed together, and the place bits that go with it.
 FLAT, PLACE = 1 << 21, np.uint64(22)
-#: Anchors whose contexts a task holds together.
+#: Anchors whose contexts a task works on together, or one group's if that has more.
 TOGETHER = 8192
 
 
@@ -212,7 +213,7 @@ def _match_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     held: list[pa.RecordBatch] = []
     for batch in batches:
         held.append(batch)
-        if sum(b.num_rows for b in held) < 2 * CHUNK:
+        if sum(b.num_rows for b in held) < TOGETHER:
             continue
         t = pa.Table.from_batches(held).combine_chunks()
         h, chunk = t.column(0).to_numpy(), t.column(1).to_numpy()
@@ -241,21 +242,22 @@ def spans(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame
     found = docs.sparkSession.read.parquet(at)
     place = F.xxhash64("k", "n", "pos")
     again = found.groupBy("h").agg(F.count("*").alias("times"), F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi")
-    again = again.select("h", F.ceil(F.col("times") / CHUNK).cast("int").alias("chunks"))
+    # Aggregates are written before they are joined: the join then shuffles both sides for itself, and Spark can split a hot key.
+    again = cut(again.select("h", F.ceil(F.col("times") / CHUNK).cast("int").alias("chunks")))
     some = found.join(again, "h").withColumn("chunk", F.pmod(place, F.col("chunks")).cast("int"))
-    of_text = some.groupBy("k", "n").agg(F.collect_set(F.struct("h", "chunk", "chunks", "pos")).alias("found"))
+    of_text = cut(some.groupBy("k", "n").agg(F.collect_set(F.struct("h", "chunk", "chunks", "pos")).alias("found")))
     contexts = long.join(of_text, ["k", "n"]).select("k", "n", "_raw", "found").mapInArrow(_context_batches, "h bigint, chunk int, chunks int, k bigint, n int, pos int, context binary")
     matches = contexts.repartition("h", "chunk").sortWithinPartitions("h", "chunk").mapInArrow(_match_batches, "k bigint, n int, start int, end int, h bigint, offset int, content bigint, single boolean")
     to = scratch(docs.sparkSession, "matches")
     matches.write.parquet(to)
     matches = docs.sparkSession.read.parquet(to)
     dealt = matches.where("h is not null")
-    shared = dealt.groupBy("h", "offset", "content").agg(F.count("*").alias("groups")).where("groups > 1").select("h", "offset", "content")
+    shared = cut(dealt.groupBy("h", "offset", "content").agg(F.count("*").alias("groups")).where("groups > 1").select("h", "offset", "content"))
     cols = ["k", "n", "start", "end"]
     out = matches.where("h is null").select(cols).union(dealt.where("single").join(shared, ["h", "offset", "content"]).select(cols))
     copies = texts.where(F.col("n") >= WINDOW).groupBy("k", "n").agg(F.count("*").alias("times")).where("times > 1")
     out = out.union(copies.select("k", "n", F.lit(0).alias("start"), F.col("n").alias("end")))
-    return texts, out.groupBy("k", "n").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    return texts, cut(out.groupBy("k", "n").agg(F.collect_set(F.struct("start", "end")).alias("spans")))
 
 
 def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
