@@ -163,6 +163,27 @@ def test_keep_one(spark):
     assert kept.columns == frame(spark, texts).columns and kept.where("doc_id is null").count() == 1
 
 
+def edits(words, places, mark):
+    return " ".join(f"{mark}{k}" if k in places else w for k, w in enumerate(words))
+
+
+def shingle_jaccard(s, t):
+    return simhash.jaccard(s.encode(), t.encode(), 5)
+
+
+def test_keep_one_finds_copies_beyond_the_bit_budget(spark):
+    r = random.Random(11)
+    texts = []
+    for _ in range(30):
+        words = [str(r.randrange(5000)) for _ in range(300)]
+        texts += [" ".join(words), edits(words, set(range(10, 300, 60)), "x")]
+    bits = lambda t: int(simhash.majority(np.array(h := simhash.shingle_hashes(t.encode(), 5), np.uint64), np.array([0]), np.array([len(h)]))[0])
+    pairs = list(zip(texts[::2], texts[1::2], strict=True))
+    assert all(shingle_jaccard(a, b) >= 0.8 for a, b in pairs) and sum((bits(a) ^ bits(b)).bit_count() > 2 for a, b in pairs) > 20
+    kept = simhash.keep_one(frame(spark, texts), width=5)
+    assert sorted(x["doc_id"] for x in kept.collect() if x["doc_id"] is not None) == list(range(0, 60, 2))
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (5, 4), (9, 9), (None, 3)] + [(k, k + 1) for k in range(100, 160)] + [(1000, k) for k in range(1001, 1100)]
     got = {r["node"]: r["root"] for r in common.connected_components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
