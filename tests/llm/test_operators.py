@@ -184,6 +184,21 @@ def test_keep_one_finds_copies_beyond_the_bit_budget(spark):
     assert sorted(x["doc_id"] for x in kept.collect() if x["doc_id"] is not None) == list(range(0, 60, 2))
 
 
+@pytest.mark.parametrize("crowd", [64, 1])
+def test_keep_one_leaves_no_two_copies(spark, monkeypatch, crowd):
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    r = random.Random(12)
+    words = [str(r.randrange(5000)) for _ in range(300)]
+    texts = [edits(words, set(range(0, 8 * k, 8)), "x") for k in range(30) for _ in range(2)]  # a chain that drifts, each twice
+    left, want = list(enumerate(texts)), []
+    for i, t in left:
+        if all(shingle_jaccard(t, texts[k]) < 0.8 for k in want):
+            want.append(i)
+    assert len(want) > 2 and shingle_jaccard(texts[0], texts[-1]) < 0.8
+    kept = simhash.keep_one(frame(spark, texts), width=5)
+    assert sorted(x["doc_id"] for x in kept.collect() if x["doc_id"] is not None) == want
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (5, 4), (9, 9), (None, 3)] + [(k, k + 1) for k in range(100, 160)] + [(1000, k) for k in range(1001, 1100)]
     got = {r["node"]: r["root"] for r in common.connected_components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
