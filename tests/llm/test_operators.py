@@ -340,6 +340,17 @@ def test_decontaminate(spark):
     assert decontaminate.contaminated(none(spark), bench).count() == 0 and decontaminate.contaminated(docs, bench.where("false")).count() == 0
 
 
+def test_decontaminate_finds_an_edit_in_any_number_of_documents(spark):
+    r = random.Random(61)
+    item = [f"item{k}" for k in range(15)]
+    copy = [f"new{k}" if k in (3, 9, 13) else w for k, w in enumerate(item)]  # one run of five words is left
+    texts = [" ".join([*(str(r.randrange(1000)) for _ in range(20)), *copy, str(i)]) for i in range(40)]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string")
+    got = decontaminate.contaminated(frame(spark, texts), bench).collect()
+    assert sorted(x["doc_id"] for x in got) == list(range(40)) and {x["score"] for x in got} == {0.6}
+    assert [x["doc_id"] for x in decontaminate.clean(frame(spark, texts), bench).collect()] == [None]
+
+
 # -- 7 ---------------------------------------------------------------------------
 
 

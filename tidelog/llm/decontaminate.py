@@ -1,24 +1,29 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Benchmark items are words; every run of ``SEED`` words is a seed. A first pass
-counts in how many documents each seed occurs; a seed is rare in its item if it
-is no more frequent than ``RARE`` or four times the item's lower quartile, so
-an item that is copied everywhere still has rare seeds. A document that shares
-a rare seed with an item, or two seeds of any kind, is aligned with it around
-the seeds: +1 for an equal word, -1 for another or a gap. The score is the best
-local alignment over the item's length; ``LEAST`` is that of an item of which a
-fifth of the words were replaced.
+Alignment gives +1 for an equal word, -1 for another or a gap. The score is the
+best local alignment over the item's length; ``LEAST`` is that of an item of
+which a fifth of the words were replaced. What cannot score it is not aligned:
+
+* An alignment of m item words that scores s has at most m - s faults, so a run
+  of m / (m - s + 1) equal words is left. Every run of that many words, ``SEED``
+  at most, is a seed of the item, and a document without one is no candidate.
+* Its runs hold s - 1 or more pairs of neighbours, in 2 * m - s words of the
+  document. A stretch around the seeds without so many is not aligned.
+
+Neither bound looks at how often a seed occurs, so all that score ``LEAST`` or
+more are found, in however many documents they are.
 
 The benchmark may be of any size: it is worked through in blocks of about
 ``BLOCK`` words, and a block is all that is sent to executors. Documents are
 never shuffled. Defined results: null and empty texts match nothing; items with
-fewer than SEED words are no evidence and match nothing; equal items are
+fewer than WORDS words are no evidence and match nothing; equal items are
 reported each by its id; repeated rows are reported each; several passages of
 an item in one text give its best; empty tables give no rows.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -29,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SEED, RARE, LEAST, BLOCK = 5, 10, 0.6, 2_000_000
+SEED, WORDS, LEAST, BLOCK = 3, 5, 0.6, 2_000_000
 #: Cells of one row of alignments that are worked on together.
 CELLS = 500_000
 _WORDS = re.compile(r"\w+").findall
@@ -42,83 +47,71 @@ def words_of(text: str | None) -> list[str]:
 class Items:
     """A block of benchmark items with their seeds."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], least: float = LEAST):
         self.number: dict[str, int] = {}
         self.ids, self.words = [], []
         for item, text in items:
             words = words_of(text)
-            if len(words) >= SEED:
+            if len(words) >= WORDS:
                 self.ids.append(item)
                 self.words.append(np.array([self.number.setdefault(w, len(self.number) + 1) for w in words], np.int64))
-        places = [(code, k, at) for k, w in enumerate(self.words) for at, code in enumerate(self.codes(w).tolist())]
+        self.need = [max(1, math.ceil(least * len(w) - 1e-9)) for w in self.words]
+        width = [min(SEED, -(-len(w) // max(1, len(w) - s + 1))) for w, s in zip(self.words, self.need, strict=True)]
+        self.widths = sorted(set(width))
+        self.pairs = [np.unique(self.codes(w, 2)) for w in self.words]
+        places = [(code, k, at) for k, w in enumerate(self.words) for at, code in enumerate(self.codes(w, width[k]).tolist())]
         places.sort()
         self.code = np.array([p[0] for p in places], np.uint64)
         self.item = np.array([p[1] for p in places], np.int64)
         self.at = np.array([p[2] for p in places], np.int64)
-        self.seeds, self.first, times = np.unique(self.code, return_index=True, return_counts=True)
-        self.times = times
-        self.rare = np.ones(len(self.code), bool)
+        self.seeds, self.first, self.times = np.unique(self.code, return_index=True, return_counts=True)
 
     @staticmethod
-    def codes(numbers: np.ndarray) -> np.ndarray:
-        """A 64-bit code of each window of SEED known words."""
-        n = len(numbers) - SEED + 1
+    def codes(numbers: np.ndarray, width: int) -> np.ndarray:
+        """A 64-bit code of each window of ``width`` known words."""
+        n = len(numbers) - width + 1
         if n <= 0:
             return np.zeros(0, np.uint64)
-        out = np.zeros(n, np.uint64)
+        out = np.full(n, width, np.uint64)
         x = numbers.astype(np.uint64)
-        for k in range(SEED):
+        for k in range(width):
             out = (out ^ (out >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + x[k : k + n]
         return out
 
-    def mark_rare(self, frequency: np.ndarray) -> None:
-        """``frequency``: documents with each of ``seeds``."""
-        f = np.repeat(frequency, self.times)
-        order = np.lexsort((f, self.item))
-        item, each = self.item[order], np.arange(len(self.ids))
-        first, end = np.searchsorted(item, each), np.searchsorted(item, each, "right")
-        quartile = f[order][first + (end - first - 1) // 4] if len(self.ids) else f
-        self.rare = f <= np.maximum(RARE, 4 * quartile)[self.item]
-
     def read(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """A text's word numbers (0: in no item), and the place and seed of each window that is a seed."""
         words = words_of(text)
         known = np.fromiter(map(self.number.get, words, chain([0] * len(words))), np.int64, len(words))
-        n = len(known) - SEED + 1
-        none = np.zeros(0, np.int64)
-        if n <= 0 or not len(self.seeds):
-            return known, none, none
-        gaps = np.cumsum(np.r_[0, known == 0])
-        place = np.flatnonzero(gaps[SEED:] == gaps[:n])
-        if not len(place):
-            return known, none, none
-        code = np.zeros(len(place), np.uint64)
-        for k in range(SEED):
-            code = (code ^ (code >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + known[place + k].astype(np.uint64)
-        seed = np.minimum(np.searchsorted(self.seeds, code), len(self.seeds) - 1)
-        hit = self.seeds[seed] == code
-        return known, place[hit], seed[hit]
-
-    def candidates(self, place: np.ndarray, seed: np.ndarray, size: int) -> Iterator[tuple[int, int, int, int]]:
-        """(item, first word, end, seeds shared) of each stretch of a text of ``size`` words to align."""
-        found: dict[int, list[tuple[int, int, bool]]] = defaultdict(list)
+        places, seeds = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for width in self.widths:
+            code = self.codes(known, width)
+            seed = np.minimum(np.searchsorted(self.seeds, code), len(self.seeds) - 1)
+            place = np.flatnonzero(self.seeds[seed] == code)
+            places.append(place)
+            seeds.append(seed[place])
+        return known, np.concatenate(places), np.concatenate(seeds)
+
+    def candidates(self, known: np.ndarray, place: np.ndarray, seed: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(item, first word, end, seeds shared) of each stretch of a text to align."""
+        found: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for p, s in zip(place.tolist(), seed.tolist(), strict=True):
             for x in range(self.first[s], self.first[s] + self.times[s]):
-                found[int(self.item[x])].append((p, int(self.at[x]), bool(self.rare[x])))
+                found[int(self.item[x])].append((p, int(self.at[x])))
+        pairs = self.codes(known, 2) if found else None
         for item, hits in found.items():
-            if len({q for _, q, _ in hits}) < 2 and not any(rare for _, _, rare in hits):
-                continue
-            long = len(self.words[item])
-            slack = 2 + long * 2 // 5
-            spans = sorted((max(0, p - q - slack), min(size, p + long - q + slack)) for p, q, _ in hits)
-            lo, hi = spans[0]
-            n = len({q for _, q, _ in hits})
+            long, need = len(self.words[item]), self.need[item]
+            spans = sorted((max(0, p - q - (long - need)), min(len(known), p + long - q + (long - need))) for p, q in hits)
+            n = len({q for _, q in hits})
+            merged = [list(spans[0])]
             for a, b in spans[1:]:
-                if a > hi:
+                if a > merged[-1][1]:
+                    merged.append([a, b])
+                merged[-1][1] = max(merged[-1][1], b)
+            for lo, hi in merged:
+                total = np.cumsum(np.r_[0, np.isin(pairs[lo : hi - 1], self.pairs[item])])
+                wide = min(2 * long - need - 1, len(total) - 1)
+                if (total[wide:] - total[: len(total) - wide]).max() >= need - 1:
                     yield item, lo, hi, n
-                    lo, hi = a, b
-                hi = max(hi, b)
-            yield item, lo, hi, n
 
 
 def align(items: list[np.ndarray], texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -149,7 +142,7 @@ def matches(items: Items, texts: list[str | None], least: float = LEAST) -> list
     for k, text in enumerate(texts):
         known, place, seed = items.read(text)
         if len(place):
-            work += [(k, item, lo, known[lo:hi], n) for item, lo, hi, n in items.candidates(place, seed, len(known))]
+            work += [(k, item, lo, known[lo:hi], n) for item, lo, hi, n in items.candidates(known, place, seed)]
     work.sort(key=lambda w: len(w[3]))
     best: dict[tuple[int, int], tuple[float, int, int, int]] = {}
     while work:
@@ -169,33 +162,14 @@ def matches(items: Items, texts: list[str | None], least: float = LEAST) -> list
     return [(k, items.ids[item], *v) for (k, item), v in sorted(best.items())]
 
 
-def blocks(benchmark: DataFrame, docs: DataFrame, id_col: str, text_col: str, doc_text_col: str, block: int = BLOCK) -> Iterator[Items]:
-    """The benchmark in blocks, each with its rare seeds marked by their frequency in ``docs``."""
+def blocks(benchmark: DataFrame, id_col: str, text_col: str, least: float = LEAST, block: int = BLOCK) -> Iterator[Items]:
+    """The benchmark in blocks."""
     rows = benchmark.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).distinct()
     size = rows.agg(F.sum(F.size(F.split("_text", r"\W+")))).first()[0] or 0
     n = -(-int(size) // block)
     for k in range(n):
         part = rows.where(F.pmod(F.xxhash64("_id", "_text"), F.lit(n)) == k) if n > 1 else rows
-        items = Items(sorted((r["_id"], r["_text"]) for r in part.collect()))
-        sent = docs.sparkSession.sparkContext.broadcast(items)
-
-        def count(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            items = sent.value
-            total = np.zeros(len(items.seeds), np.int64)
-            for batch in batches:
-                for text in batch.column(0):
-                    _, _, seed = items.read(text.as_py())
-                    if len(seed):
-                        total[np.unique(seed)] += 1
-            on = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(on), pa.array(total[on])], ["seed", "docs"])
-
-        frequency = np.zeros(len(items.seeds), np.int64)
-        counted = docs.select(F.col(doc_text_col).alias("_text")).mapInArrow(count, "seed bigint, docs bigint").groupBy("seed").agg(F.sum("docs").alias("docs"))
-        for seed, many in counted.toPandas().itertuples(index=False):
-            frequency[seed] = many
-        items.mark_rare(frequency)
-        yield items
+        yield Items(sorted((r["_id"], r["_text"]) for r in part.collect()), least)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: float = LEAST, block: int = BLOCK) -> DataFrame:
@@ -203,7 +177,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     schema = f"_id {kind}, _item {item_kind}, score double, n_seeds int, start_word int, end_word int"
     out = docs.sparkSession.createDataFrame([], schema)
-    for items in blocks(benchmark, docs, item_col, item_text_col, text_col, block):
+    for items in blocks(benchmark, item_col, item_text_col, least, block):
         sent = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
@@ -220,7 +194,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: float = LEAST, block: int = BLOCK) -> DataFrame:
     """The rows of ``docs`` that have a copy of no item, with their columns; ids play no part."""
-    for items in blocks(benchmark, docs, item_col, item_text_col, text_col, block):
+    for items in blocks(benchmark, item_col, item_text_col, least, block):
         sent = docs.sparkSession.sparkContext.broadcast(items)
         packed = docs.select(F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("_row"), F.col(text_col).alias("_text"))
 
