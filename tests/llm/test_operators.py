@@ -351,6 +351,28 @@ def test_decontaminate_finds_an_edit_in_any_number_of_documents(spark):
     assert [x["doc_id"] for x in decontaminate.clean(frame(spark, texts), bench).collect()] == [None]
 
 
+def test_decontaminate_misses_no_alignment(spark):
+    r = random.Random(62)
+    vocab = [f"w{k}" for k in range(60)]
+    items = [[r.choice(vocab) for _ in range(n)] for n in range(5, 41)]
+    texts = []
+    for k in range(400):
+        words = list(items[k % 36])
+        if k < 36:
+            words[4::5] = ["new"] * len(words[4::5])
+        elif k < 72:
+            words[len(words) // 2] = "new"
+        for _ in range(len(words) * (k // 72) // 10):
+            p = r.randrange(len(words))
+            words[p : p + 1] = r.choice([[], ["new"], [words[p], "more"], [r.choice(vocab), words[p]]])
+        texts.append([r.choice(vocab) for _ in range(r.randint(0, 30))] + words + [r.choice(vocab) for _ in range(r.randint(0, 30))])
+    want = {(i, j): round(s, 9) for i, t in enumerate(texts) for j, item in enumerate(items) if (s := local_score(item, t) / len(item)) >= 0.6 - 1e-9}
+    grams = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    assert sum(not grams(texts[i]) & grams(items[j]) for i, j in want) > 20
+    block = decontaminate.Items([(j, " ".join(w)) for j, w in enumerate(items)])
+    assert {(k, j): round(s, 9) for k, j, s, *_ in decontaminate.matches(block, [" ".join(t) for t in texts])} == want
+
+
 # -- 7 ---------------------------------------------------------------------------
 
 
