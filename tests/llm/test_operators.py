@@ -265,6 +265,14 @@ def test_url_templates(spark):
     assert len({got[i]["template"] for i in range(60, 120)}) == 1 and got[121]["verdict"] == "allow"
 
 
+def test_url_verdict_reaches_unlabelled_pages(spark):
+    rows = [(f"a://h.x/spam/{i}", 1 if i < 100 else None) for i in range(130)] + [(f"a://h.x/news/{i}", 0 if i < 100 else None) for i in range(130)]
+    rows += [(f"a://g.x/spam/{i}", 1 if i < 20 else None) for i in range(200)]
+    df = spark.createDataFrame([(i, u, y) for i, (u, y) in enumerate(rows)], "page_id bigint, url string, bad int")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(df, rules=(), label=F.col("bad")).collect()}
+    assert {got[i] for i in (*range(130), *range(260, 460))} == {"block"} and {got[i] for i in range(130, 260)} == {"allow"}
+
+
 # -- 5 ---------------------------------------------------------------------------
 
 

@@ -4,8 +4,9 @@ A path is a walk down its host's tree. Variable segments (numbers, long hex)
 become wildcards at once; a node with more than ``FANOUT`` children of little
 support has its children made wildcards too. Branches whose subtrees look alike
 and whose labelled shares agree are merged. A template is rejected if the
-smoothed share of bad pages in it reaches ``REJECT``: labelled pages count as
-labelled, every other page and ``WEIGHT`` more count as ``PRIOR`` of a bad one.
+smoothed share of bad pages among its labelled ones reaches ``REJECT``:
+``WEIGHT`` further pages count as ``PRIOR`` of a bad one each. Pages without a
+label take the verdict of their template's labelled ones.
 DataFrame operations only; trees are built from counts by template, so a host
 with many pages is aggregated before it is shuffled, and joined by template.
 
@@ -96,7 +97,7 @@ def templates(labelled: DataFrame, prior: float = PRIOR, weight: float = WEIGHT,
         nodes = cut(nodes.withColumn("to", F.when(F.col("_h").isNotNull(), _put(d, "{}")).otherwise(F.col("to"))).drop("_h", "_a", "_s"))
     nodes = nodes.withColumn("template", F.concat(F.lit("/"), F.array_join("to", "/")))
     total = nodes.groupBy("host", "template").agg(*[F.sum(c).alias(c) for c in ("n", "known", "bad")])
-    purity = (F.col("bad") + prior * (F.col("n") - F.col("known") + weight)) / (F.col("n") + weight)
+    purity = (F.col("bad") + prior * weight) / (F.col("known") + weight)
     judged = total.select("host", "template", F.when(purity >= reject, "block").otherwise("allow").alias("found"), purity.alias("purity"))
     return nodes.select("host", "segs", "template").join(judged, ["host", "template"])
 
