@@ -7,7 +7,7 @@ import random
 import numpy as np
 
 import corpus_pipeline
-from tidelog.llm import decontaminate, simhash
+from tidelog.llm import bpe, decontaminate, simhash
 from tidelog.llm.queries import TOKENIZERS
 
 
@@ -49,3 +49,14 @@ def test_stages(spark, tmp_path):
         assert list(x["token_ids"]) == library.encode(kept["benchmark_decontamination"][i]["text"], add_special_tokens=False).ids
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(kept["bpe_encoding"])
     assert decontaminate.words_of(item)
+
+
+def test_encode_has_digests(spark):
+    texts = ["some words here", "Ünï 漢字 <|x|>", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    want = {x["doc_id"]: x for x in bpe.digests(docs, f"{TOKENIZERS}/word_bpe_49k.json").collect()}
+    got = corpus_pipeline.encode(spark, docs, "").collect()
+    assert len(got) == len(texts)
+    for x in got:
+        assert [x[c] for c in ("n_tokens", "ids_sha256", "decoded_sha256")] == [want[x["doc_id"]][c] for c in ("n_tokens", "ids_sha256", "decoded_sha256")]
+        assert len(x["token_ids"]) == x["n_tokens"]
