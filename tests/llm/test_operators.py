@@ -456,13 +456,47 @@ def test_banded_distance(spark, threshold):
         assert min(x["d"], threshold + 1) == min(x["e"], threshold + 1) == min(distance(x["s"], x["t"]), threshold + 1)
 
 
-@pytest.mark.parametrize(("threshold", "hot"), [(1, 10_000), (1, 20), (2, 200)])
-def test_edit_join(spark, threshold, hot):
-    r = random.Random(hot)
+def groups_of(n, pairs):
+    low = list(range(n))
+    for _ in range(n):
+        before = list(low)
+        for i, j in pairs:
+            low[i] = low[j] = min(low[i], low[j])
+        if low == before:
+            return low
+    return low
+
+
+def edit_links(spark, lines, threshold, crowd):
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "id bigint, line string")
+    keyed = df.select("id", line_dedup.line_keys(F.col("line"), F.char_length("line"), threshold).alias("keys"))
+    found, _ = line_dedup.links(keyed, lambda ids: df.join(ids, "id"), threshold, crowd)
+    return found
+
+
+@pytest.mark.parametrize(("threshold", "crowd"), [(1, 1000), (1, 2), (2, 3), (3, 1000)])
+def test_edit_join(spark, threshold, crowd):
+    r = random.Random(threshold)
     lines = sorted({edited(r, r.choice(["the quick brown fox jumps over", "lorem ipsum dolor sit amet con"]), 3, 22) for _ in range(130)})
-    df = spark.createDataFrame([(i, x, len(x)) for i, x in enumerate(lines)], "id bigint, line string, size int")
     want = {(i, j) for i in range(len(lines)) for j in range(i + 1, len(lines)) if distance(lines[i], lines[j]) <= threshold}
-    assert {(x["u"], x["v"]) for x in line_dedup.links(df, threshold, hot).collect()} == want
+    got = {(x["a"], x["b"]) for x in edit_links(spark, lines, threshold, crowd).collect()}
+    assert got <= want and groups_of(len(lines), got) == groups_of(len(lines), want)
+    assert crowd < 1000 or got == want
+
+
+def test_edit_join_is_linear_in_a_group(spark):
+    base = "a line that is the same in all but a single place of it"
+    at = [base[:20] + chr(0x4E00 + k) + base[20:] for k in range(600)]
+    lines = [base, *at, *(base[:20] + "zz" + base[21:] + chr(0x4E00 + k) for k in range(200)), *(x[:19] + x[20:] for x in at[:100])]
+    pairs = [(i, j) for i, x in enumerate(lines) for j in range(i) if (y := lines[j]) and abs(len(x) - len(y)) <= 1 and distance_of_one(x, y)]
+    found = edit_links(spark, lines, 1, 8).collect()
+    assert groups_of(len(lines), [(x["a"], x["b"]) for x in found]) == groups_of(len(lines), pairs)
+    assert len(pairs) > 100_000 and len(found) < 10 * len(lines)
+
+
+def distance_of_one(x, y):
+    k = next((k for k, (a, b) in enumerate(zip(x, y, strict=False)) if a != b), min(len(x), len(y)))
+    return x[k + (len(x) >= len(y)) :] == y[k + (len(y) >= len(x)) :]
 
 
 def test_line_dedup(spark):
@@ -497,6 +531,13 @@ def test_line_dedup(spark):
     assert line_dedup.report(none(spark)).count() == 0
 
 
+def test_line_dedup_of_odd_columns(spark):
+    docs = spark.createDataFrame([("b", "one line\nanother line", 1, 2, 3), ("a", "one line", 1, 2, 3), (None, "another line", 1, 2, 3)], "doc string, `my text` string, removed int, `of.x y` int, _of int")
+    got = line_dedup.remove(docs, "doc", "my text")
+    assert got.columns == docs.columns and got.schema["removed"].dataType == docs.schema["removed"].dataType
+    assert {x["doc"]: x["my text"] for x in got.collect()} == {"a": "one line", "b": "another line", None: ""}
+
+
 # -- 9 ---------------------------------------------------------------------------
 
 

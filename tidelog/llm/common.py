@@ -7,15 +7,35 @@ from pyspark.sql import functions as F
 
 from tidelog.session import cut, scratch, shared_dir
 
-__all__ = ["connected_components", "cut", "scratch", "shared_dir", "table"]
+__all__ = ["connected_components", "cut", "quoted", "scratch", "shared_dir", "sieved", "table"]
+#: Rows of 64 bits that a sieve has at most: 4 MB, whatever is sieved.
+SIEVE = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of ``edges`` (u, v: bigint); root is the smallest node reachable.
+def quoted(name: str) -> str:
+    """A column's name such that no character in it has a meaning."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def sieved(df: DataFrame, name: str, some: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose column ``name`` is among those of ``some``, and a few others.
+
+    A bitmap of SIEVE words is all that is broadcast. It lets more through as ``some`` grows, so it only spares
+    rows a shuffle; the exact join has to follow.
+    """
+    h = F.xxhash64(name)
+    word, bit = F.pmod(F.shiftrightunsigned(h, 6), F.lit(SIEVE)), h.bitwiseAND(F.lit(63).cast("bigint")).cast("int")
+    marks = some.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits"))
+    rows = df.withColumn("_word", word).withColumn("_bit", bit).join(F.broadcast(marks), "_word")
+    return rows.where(F.expr("shiftright(_bits, _bit) & 1L = 1L")).select(*[F.col(quoted(c)) for c in df.columns])
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
+    """(node, root) for every node of ``edges`` (u, v: of one type with an order); root is the smallest node reachable.
 
     Alternating large-star and small-star contractions. Each is an aggregation
     with map-side combining and an equi-join, so a hub's edges are never in one
@@ -24,7 +44,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     edges = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
-    for _ in range(max_rounds):
+    while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Written first, so that the join shuffles both sides for itself and Spark can split a hub's rows.
         low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
@@ -36,4 +56,3 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if now == before:
             return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         before = now
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")

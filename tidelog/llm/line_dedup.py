@@ -7,18 +7,26 @@ by document id and line number, stays.
 
 Links come from a segment-partition join: a line is cut into threshold + 1
 segments, of which an equal one must survive in any line within the threshold.
-Segments are indexed under (length, number, content); a line probes the lengths
-up to ``threshold`` below its own, at the start places that position and length
-allow. A key under which many lines meet is not paired: what is left of its
-lines without the segment has the same threshold to keep, so it is cut and
-indexed again, level by level, until few lines meet or hardly anything is left
-(then the lines differ in a few characters at one place). Pairs are screened by
-letter counts and verified by a banded bit-parallel edit distance.
+Segments are indexed under (length, number, content); a line meets lines of its
+own length by its index rows, and probes the lengths up to ``threshold`` below
+its own, at the start places that position and length allow. A key under which
+more than ``CROWD`` lines meet is not paired: what is left of its lines without
+the segment has the same threshold to keep, so it is cut and indexed again,
+level by level. Once no more than ``threshold`` characters are left, all lines
+of a key are within the threshold, and each is linked to the first of them. So
+candidates are at most CROWD times the index rows. (At thresholds of 2 or more,
+the probes of a key are paired with its index rows at that level.) Pairs
+are screened by letter counts and verified by a banded bit-parallel edit
+distance.
+
+Line texts are shuffled only for lines that share a key; lists of keys and lines
+are sieved by a bitmap of bounded size before they are shuffled.
 
 Defined results: null is the empty text; blank lines are never duplicates and
 stay; null ids come last; rows that repeat an id and a text stay or lose lines
-together; long lines are compared whole; an empty table gives no rows. Only the
-id and text columns are read, and the texts' other columns are kept.
+together; long lines are compared whole; an empty table gives no rows. Ids may
+be of any type with an order. Only the id and text columns are read; the other
+columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,13 +35,15 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidelog.llm.common import connected_components, cut, scratch
+from tidelog.llm.common import connected_components, cut, quoted, scratch, sieved
 
 THRESHOLD, MIN_CHARS = 1, 20
-#: Index rows times probe rows that may meet under a key without being cut again.
-HOT = 10_000
+#: Rows that may meet under a key without being cut again.
+CROWD = 32
 LETTERS = "aeinorst"
+_BLANK = " \t\r\x0b\x0c"
 
 
 def _long(x: Column | int) -> Column:
@@ -42,84 +52,104 @@ def _long(x: Column | int) -> Column:
 
 def _cuts(size: Column, i: int, parts: int) -> tuple[Column, Column]:
     """Start (from 0) and length of segment i (from 0) of a string: the last ones are the longer."""
-    base, extra = F.floor(size / parts), size % parts
-    short = parts - extra
-    start = F.lit(i) * base + F.greatest(F.lit(0), F.lit(i) - short)
-    return start.cast("int"), (base + F.when(F.lit(i) >= short, 1).otherwise(0)).cast("int")
+    base, extra = F.floor(size / parts).cast("int"), (size % parts).cast("int")
+    more = F.lit(i) - (parts - extra)
+    return base * i + F.greatest(F.lit(0), more), base + (more >= 0).cast("int")
 
 
-def _index(text: Column, size: Column, seed: Column, threshold: int) -> Column:
-    rows = []
-    for i in range(threshold + 1):
-        start, n = _cuts(size, i, threshold + 1)
-        rows.append(_row(seed, size, i, text, start, n, 0, 0))
-    return F.array(*rows)
+def slots(threshold: int) -> list[tuple[int, int, int]]:
+    """(delta, segment, shift) of the rows of a line: its own segments first, with delta -1, then its probes.
 
-
-def _row(seed: Column, size: Column, i: int, text: Column, start: Column, n: Column, role: int, delta: int) -> Column:
-    """The key, and where it lies: role, delta, start and length in one number, as these rows are the bulk of the shuffle."""
-    tag = F.shiftleft(_long(n), 32).bitwiseOR(F.shiftleft(_long(start), 6)).bitwiseOR(_long(role + 2 * delta))
-    return F.struct(F.xxhash64(seed, size.cast("int"), F.lit(i), F.substring(text, start + 1, n)).alias("key"), tag.alias("tag"))
+    A probe looks for segment i of a line ``delta`` shorter, ``shift`` places on from where that line has it. Probes
+    with neither are in a line's own segments, and come last: only what is left of a probe's line needs them.
+    """
+    t = threshold
+    probes = [(d, i, s) for d in range(t + 1) for i in range(t + 1) for s in range(max(-i, d - (t - i)), min(i, d + (t - i)) + 1)]
+    probes.sort(key=lambda p: p[0] == p[2] == 0)
+    return [(-1, i, 0) for i in range(t + 1)] + probes
 
 
-def _unpacked(rows: DataFrame) -> DataFrame:
-    part = lambda shift, bits: F.shiftright("tag", shift).bitwiseAND(_long((1 << bits) - 1)).cast("int")
-    return rows.withColumns({"role": part(0, 1), "delta": part(1, 5), "start": part(6, 26), "n": part(32, 31)}).drop("tag")
+def _places(size: Column, threshold: int) -> list[tuple[int, int, Column, Column, Column]]:
+    """(delta, segment, size of the line meant, start, length) of each slot."""
+    out = []
+    for delta, i, shift in slots(threshold):
+        own = size - max(0, delta)
+        start, n = _cuts(own, i, threshold + 1)
+        out.append((delta, i, own, start + shift, n))
+    return out
 
 
-def _probe(text: Column, size: Column, seed: Column, threshold: int, delta: int) -> list[Column]:
-    """Probes of strings ``delta`` shorter, at the starts that leave either side its share of the threshold."""
-    rows = []
-    for i in range(threshold + 1):
-        place, n = _cuts(size - delta, i, threshold + 1)
-        for shift in range(max(-i, delta - (threshold - i)), min(i, delta + (threshold - i)) + 1):
-            start = place + shift
-            fits = (size - delta > threshold) & (start >= 0) & (start + n <= size)
-            rows.append(F.when(fits, _row(seed, size - delta, i, text, start, n, 1, delta)))
-    return rows
+def _key(seed: Column, own: Column, i: int, text: Column, start: Column, n: Column) -> Column:
+    return F.xxhash64(seed, own.cast("int"), F.lit(i), F.substring(text, start + 1, n))
 
 
-def _keys(lines: DataFrame, threshold: int) -> DataFrame:
-    text, size, seed = F.col("line"), F.col("size"), F.lit(0)
-    probes = [p for d in range(threshold + 1) for p in _probe(text, size, seed, threshold, d)]
-    rows = F.concat(_index(text, size, seed, threshold), F.array(*probes))
-    return lines.select("id", F.explode(rows).alias("r")).where("r is not null").select("id", "r.*")
+def line_keys(line: Column, size: Column, threshold: int) -> Column:
+    """The keys of a line of more than 2 * threshold code points, by slot."""
+    places = _places(size, threshold)[: -(threshold + 1)]
+    return F.array(*[_key(F.lit(0), own, i, line, start, n) for _, i, own, start, n in places])
 
 
 def _cut_again(hot: DataFrame, threshold: int) -> DataFrame:
-    """Keys of what is left of each row's string without its segment; ``text`` is that string."""
-    rest = F.concat(F.expr("substring(text, 1, start)"), F.expr("substring(text, start + n + 1)"))
-    hot = hot.select("id", "role", "delta", F.col("key").alias("seed"), rest.alias("text")).withColumn("size", F.char_length("text"))
+    """Rows of what is left of each row's string without its segment; ``text`` is that string."""
+    size, parts = F.char_length("text"), _places(F.char_length("text"), threshold)
+    here = F.get(F.array(*[F.struct(start.alias("start"), n.alias("n")) for *_, start, n in parts]), F.col("slot"))
+    hot = hot.withColumn("_at", here)
+    rest = F.concat(F.expr("substring(text, 1, _at.start)"), F.expr("substring(text, _at.start + _at.n + 1)"))
+    deltas = F.array(*[F.lit(delta) for delta, *_ in parts])
+    hot = hot.select("id", F.col("key").alias("seed"), F.get(deltas, F.col("slot")).alias("delta"), rest.alias("text")).withColumn("size", F.char_length("text"))
     text, size, seed = F.col("text"), F.col("size"), F.col("seed")
-    probes = F.array()
-    for d in reversed(range(threshold + 1)):
-        mine = F.array(*_probe(text, size, seed, threshold, d))
-        probes = mine if d == threshold else F.when(F.col("delta") == d, mine).otherwise(probes)
-    rows = F.when(F.col("role") == 0, _index(text, size, seed, threshold)).otherwise(probes)
-    return hot.select("id", "text", F.explode(rows).alias("r")).where("r is not null").select("id", "r.*", "text")
+    last = len(parts) - (threshold + 1)  # own segments come with their line's probes of its own length
+    mine = [(F.col("delta") == delta) | (F.col("delta") == -1) & F.lit(delta == 0 and k < last) for k, (delta, *_) in enumerate(parts)]
+    keys = [F.when(is_mine & (n > 0) & (start >= 0) & (start + n <= size), _key(seed, own, i, text, start, n)) for is_mine, (_, i, own, start, n) in zip(mine, _places(size, threshold), strict=True)]
+    if threshold == 1:  # one character is left of the shorter line: it may be the longer one's last, by its slot, or first
+        keys.append(F.when((F.col("delta") == 1) & (size == 2), _key(seed, size - 1, 1, text, F.lit(0), F.lit(1))))
+    found = hot.select("id", "text", F.posexplode(F.array(*keys)).alias("slot", "key")).where("key is not null")
+    return found.withColumn("slot", F.when(F.col("slot") == len(parts), slots(1).index((1, 1, 1))).otherwise(F.col("slot")))
 
 
-def candidates(lines: DataFrame, threshold: int = THRESHOLD, hot: int = HOT) -> DataFrame:
-    """(a, b), a < b: ids of lines that may be within the threshold; all that are, are among them."""
-    rows, level, out = _keys(lines, threshold), 0, []
+def candidates(keyed: DataFrame, texts, threshold: int = THRESHOLD, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:  # noqa: ANN001
+    """(a, b), a < b: ids of lines that may be within the threshold, all links kept up to what they connect; and the texts of all lines in them.
+
+    ``keyed`` has (id, keys); ``texts(ids)`` gives (id, line) and more of the lines with these ids.
+    """
+    seen = keyed.select("id", F.posexplode("keys").alias("slot", "key"))
+    own = F.col("slot") <= threshold
+    live = seen.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.min("slot").alias("slot")).where((F.col("lo") < F.col("hi")) & own)
+    live = cut(live.select("key"))
+    rows = cut(sieved(seen, "key", live).join(live, "key").distinct())
+    lines = cut(texts(rows.select("id").distinct()))
+    level, out = 0, []
     while True:
-        role = F.col("tag").bitwiseAND(_long(1))
-        sizes = rows.groupBy("key").agg(F.sum(1 - role).alias("own"), F.sum(role).alias("others"), F.min("id").alias("lo"), F.max("id").alias("hi"))
         # Written first, so that the join shuffles both sides for itself and Spark can split a key with many rows.
-        sizes = cut(sizes.where("lo < hi and own > 0 and others > 0").select("key", (F.col("own") * F.col("others") > hot).alias("hot")))
-        rows = _unpacked(cut(rows.join(sizes, "key")))
-        if level:  # hardly anything left: these differ at one place and are few
-            rows = rows.withColumn("hot", F.col("hot") & (F.char_length("text") - F.col("n") > 2 * threshold + 1))
-        cold = rows.where("not hot")
-        own, others = cold.where("role = 0").select("key", F.col("id").alias("x")), cold.where("role = 1").select("key", F.col("id").alias("y"))
-        pairs = own.join(others, "key").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        out.append(pairs)
-        again = rows.where("hot")
-        if again.limit(1).count() == 0:
-            return reduce(DataFrame.union, out).distinct()
+        sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.min("slot").alias("slot"), F.min(F.when(own, F.col("id"))).alias("head"))
+        sizes = cut(sizes.where((F.col("lo") < F.col("hi")) & own).select("key", "head", (F.col("n") > crowd).alias("hot")))
+        rows = cut(rows.join(sizes, "key"))
+        out.append(_pairs(rows.where("not hot"), threshold))
+        hot = rows.where("hot")
+        if hot.limit(1).count() == 0:
+            return reduce(DataFrame.union, out).distinct(), lines
         if not level:
-            again = again.join(lines.select("id", F.col("line").alias("text")), "id")
-        rows, level = _cut_again(again, threshold), level + 1
+            hot = hot.join(lines.select("id", F.col("line").alias("text")), "id")
+        hot, level = cut(hot), level + 1
+        left = F.char_length("text") - F.get(F.array(*[n + max(0, delta) for delta, _, _, _, n in _places(F.char_length("text"), threshold)]), F.col("slot"))
+        delta = F.get(F.array(*[F.lit(max(0, delta)) for delta, *_ in slots(threshold)]), F.col("slot"))
+        few = left <= threshold
+        close = own if threshold > 1 else left + delta <= threshold
+        out.append(hot.where(few & close & (F.col("id") != F.col("head"))).select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")))
+        if threshold > 1:
+            out.append(_pairs(hot.where(few), threshold, own_pairs=False))
+            hot = hot.where(~few)
+        else:
+            hot = hot.where(left > 0)
+        rows = cut(_cut_again(hot, threshold))
+
+
+def _pairs(rows: DataFrame, threshold: int, own_pairs: bool = True) -> DataFrame:
+    """Each index row with the probes of its key, and with the index rows of larger ids."""
+    one, other = rows.where(F.col("slot") <= threshold).select("key", F.col("id").alias("x")), rows.select("key", F.col("id").alias("y"), F.col("slot").alias("_slot"))
+    probe = (F.col("_slot") > threshold) & (F.col("x") != F.col("y"))
+    both = one.join(other, "key").where(probe | (F.col("x") < F.col("y")) if own_pairs else probe)
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def _let(value: Column, use) -> Column:  # noqa: ANN001
@@ -196,61 +226,82 @@ def _alike(threshold: int) -> Column:
     return near
 
 
-def links(lines: DataFrame, threshold: int = THRESHOLD, hot: int = HOT) -> DataFrame:
-    """(u, v): ids of lines (id, line, size) within the threshold."""
-    pairs = cut(candidates(lines, threshold, hot))
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    text = cut(lines.join(ids, "id", "left_semi").select("id", "line"))
-    both = pairs.join(text.select(F.col("id").alias("a"), F.col("line").alias("s")), "a").join(text.select(F.col("id").alias("b"), F.col("line").alias("t")), "b")
-    return both.where(_alike(threshold)).where(edit_distance(F.col("s"), F.col("t"), threshold) <= threshold).select(F.col("a").alias("u"), F.col("b").alias("v"))
+def links(keyed: DataFrame, texts, threshold: int = THRESHOLD, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:  # noqa: ANN001
+    """(a, b): ids of lines (see ``candidates``) within the threshold, with their texts' columns as structs ``x`` and ``y``; and the texts."""
+    pairs, lines = candidates(keyed, texts, threshold, crowd)
+    one, two = (lines.select(F.col("id").alias(i), F.struct(*lines.columns).alias(c)) for i, c in (("a", "x"), ("b", "y")))
+    both = cut(pairs).join(one, "a").join(two, "b").withColumn("s", F.col("x.line")).withColumn("t", F.col("y.line"))
+    return both.where(_alike(threshold)).where(edit_distance(F.col("s"), F.col("t"), threshold) <= threshold).drop("s", "t"), lines
 
 
 def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, hash of the text, place, line_no, line) of every line that is not blank."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.xxhash64(text).alias("of"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
-    rows = rows.withColumn("line", F.btrim("line", F.lit(" \t\r\x0b\x0c"))).where("line <> ''")
+    """(doc, of, line_no, line, id, id2) of every line that is not blank: the document, a hash of its text, and 128 bits that stand for the line."""
+    text = F.coalesce(F.col(quoted(text_col)), F.lit(""))
+    rows = docs.select(F.col(quoted(id_col)).alias("doc"), F.xxhash64(text).alias("of"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+    rows = rows.withColumn("line", F.btrim("line", F.lit(_BLANK))).where("line <> ''")
+    return rows.withColumn("id", F.xxhash64("line")).withColumn("id2", F.xxhash64(F.lit(1), "line"))
+
+
+def _place(kind: T.DataType) -> Column:
+    """What orders lines, by document and number; null documents come last."""
+    if not isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return F.struct(F.col("doc").isNull().alias("last"), "doc", "line_no")
     place = F.coalesce(F.col("doc").cast("decimal(20,0)"), F.lit(str(10**19)).cast("decimal(20,0)")) * F.lit(1 << 32).cast("decimal(11,0)") + F.col("line_no")
-    return rows.withColumn("place", place.cast("decimal(38,0)")).withColumn("id", F.xxhash64("line"))
+    return place.cast("decimal(38,0)")
+
+
+def _node(id_: Column, id2: Column) -> Column:
+    """126 of the 128 bits as one number."""
+    return (id_.cast("decimal(20,0)") * F.lit(1 << 62).cast("decimal(19,0)") + F.shiftrightunsigned(id2, 2).cast("decimal(20,0)")).cast("decimal(38,0)")
 
 
-def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, hot: int = HOT) -> DataFrame:
+def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, crowd: int = CROWD) -> DataFrame:
     """(doc, of, removed array<int>): line numbers that go, for each text that loses lines."""
-    assert min_chars > 2 * threshold + 1
-    rows = occurrences(docs, id_col, text_col)
+    if min_chars <= 2 * threshold + 1:
+        raise ValueError("lines of 2 * threshold + 1 code points or fewer are not compared")
+    occ = occurrences(docs, id_col, text_col).withColumn("size", F.char_length("line"))
     at = scratch(docs.sparkSession, "lines")
-    rows.groupBy("id", "line").agg(F.min("place").alias("first"), F.count("*").alias("times")).write.parquet(at)
-    lines = docs.sparkSession.read.parquet(at)
-    some = lines.select("id", "line", F.char_length("line").alias("size")).where(F.col("size") >= min_chars)
-    roots = connected_components(links(some, threshold, hot))
-    grouped = lines.join(roots, lines.id == roots.node).select("id", "root", "first")
-    linked = grouped.join(grouped.groupBy("root").agg(F.min("first").alias("keep")), "root").select("id", "keep")
-    alone = lines.where("times > 1").select("id", F.col("first").alias("keep"))
-    known = cut(linked.union(alone).groupBy("id").agg(F.min("keep").alias("keep")))
-    gone = rows.select("doc", "of", "line_no", "place", "id").join(known, "id").where("place <> keep")
+    keys = F.when(F.col("size") >= min_chars, line_keys(F.col("line"), F.col("size"), threshold))
+    occ.select("doc", "of", "line_no", "id", "id2", keys.alias("keys")).write.parquet(at)
+    rows = docs.sparkSession.read.parquet(at).withColumn("place", _place(docs.schema[id_col].dataType))
+
+    def texts(ids: DataFrame) -> DataFrame:
+        some = sieved(occ.where(F.col("size") >= min_chars).withColumn("place", _place(docs.schema[id_col].dataType)), "id", ids)
+        return some.groupBy("id", "id2", "line").agg(F.min("place").alias("first")).join(ids, "id", "left_semi")
+
+    found, lines = links(rows.where("keys is not null").select("id", "keys"), texts, threshold, crowd)
+    node = lambda c: _node(F.col(f"{c}.id"), F.col(f"{c}.id2"))
+    roots = connected_components(found.select(node("x").alias("u"), node("y").alias("v")))
+    grouped = lines.select("id", "id2", "first", _node(F.col("id"), F.col("id2")).alias("node")).join(roots, "node")
+    linked = grouped.join(cut(grouped.groupBy("root").agg(F.min("first").alias("keep"))), "root").select("id", "id2", "keep")
+    alone = rows.groupBy("id", "id2").agg(F.min("place").alias("keep"), F.count("*").alias("times")).where("times > 1").select("id", "id2", "keep")
+    known = cut(linked.union(alone).groupBy("id", "id2").agg(F.min("keep").alias("keep")))
+    gone = sieved(rows.drop("keys"), "id", known).join(known, ["id", "id2"]).where("place <> keep")
     return gone.groupBy("doc", "of").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
 
 
 def _with_removed(docs: DataFrame, id_col: str, text_col: str, **settings) -> DataFrame:  # noqa: ANN003
+    """Every row packed as ``_row``, with its id, text and ``removed``."""
     gone = duplicates(docs, id_col, text_col, **settings)
-    docs = docs.withColumn("_of", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    on = docs[id_col].cast("bigint").eqNullSafe(gone["doc"]) & (docs["_of"] == gone["of"])
-    return docs.join(gone, on, "left").drop("doc", "of", "_of")
+    rows = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("_row"), F.col(quoted(id_col)).alias("_id"), F.col(quoted(text_col)).alias("_text"))
+    rows = rows.withColumn("_of", F.xxhash64(F.coalesce("_text", F.lit(""))))
+    return rows.join(gone, rows["_id"].eqNullSafe(gone["doc"]) & (rows["_of"] == gone["of"]), "left")
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:  # noqa: ANN003
     """(id_col, n_lines, n_removed, removed) for every row: lines that are not blank, and the numbers (from 0) of those that go."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text = F.coalesce(F.col(quoted(text_col)), F.lit(""))
     gone = duplicates(docs, id_col, text_col, **settings)
-    n = F.size(F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(" \t\r\x0b\x0c")) != ""))
-    rows = docs.select(F.col(id_col), F.xxhash64(text).alias("_of"), n.cast("bigint").alias("n_lines"))
-    out = rows.join(gone, rows[id_col].cast("bigint").eqNullSafe(gone["doc"]) & (rows["_of"] == gone["of"]), "left")
+    n = F.size(F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(_BLANK)) != ""))
+    rows = docs.select(F.col(quoted(id_col)).alias("_id"), F.xxhash64(text).alias("_of"), n.cast("bigint").alias("n_lines"))
+    out = rows.join(gone, rows["_id"].eqNullSafe(gone["doc"]) & (rows["_of"] == gone["of"]), "left")
     removed = F.coalesce("removed", F.array().cast("array<int>"))
-    return out.select(id_col, "n_lines", F.size(removed).cast("bigint").alias("n_removed"), removed.alias("removed"))
+    return out.select(F.col("_id").alias(id_col), "n_lines", F.size(removed).cast("bigint").alias("n_removed"), removed.alias("removed"))
 
 
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:  # noqa: ANN003
     """``docs`` with the lines gone that duplicate an earlier one; texts without such lines are as they were."""
     out = _with_removed(docs, id_col, text_col, **settings)
-    left = F.array_join(F.filter(F.split(text_col, "\n"), lambda x, k: ~F.array_contains("removed", k)), "\n")
-    return out.withColumn(text_col, F.when(F.col("removed").isNull(), F.col(text_col)).otherwise(left)).select(docs.columns)
+    left = F.array_join(F.filter(F.split("_text", "\n"), lambda x, k: ~F.array_contains("removed", k)), "\n")
+    text = F.when(F.col("removed").isNull(), F.col("_text")).otherwise(left)
+    return out.select(*[(text if c == text_col else F.col(f"_row.{quoted(c)}")).alias(c) for c in docs.columns])
