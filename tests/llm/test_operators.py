@@ -553,9 +553,9 @@ def without_repeats(texts):
     return out
 
 
-@pytest.mark.parametrize("chunk", [65536, 16])
-def test_suffix_dedup(spark, monkeypatch, chunk):
-    monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
+@pytest.mark.parametrize("cell", [4096, 6])
+def test_suffix_dedup(spark, monkeypatch, cell):
+    monkeypatch.setattr(suffix_dedup, "CELL", cell)
     monkeypatch.setattr(suffix_dedup, "FLAT", 4096)
     r = random.Random(5)
     base = "".join(r.choice("abc dé") for _ in range(3000))

@@ -8,9 +8,15 @@ the anchors (about one in 85 bytes) are shuffled. Anchors whose gram occurs
 once fall out. The others bring the bytes around them, and the windows of a
 gram are ordered by radix passes over eight-byte digits to both sides; a window
 is a pair of a left and a right class, and repeated if another anchor of the
-gram has the same pair. A gram with more than ``CHUNK`` anchors is dealt over
-several groups, and what is single in one is compared between groups by a hash
-of the window.
+gram has the same pair.
+
+A gram with more than ``CELL`` anchors goes through further distributed passes
+first. A cell holds the anchors that agree in all bytes which windows of a range
+of offsets share; the gram is that for all offsets. Anchors of a cell with equal
+surroundings are counted, by hash, and are repeated in all their windows; one of
+them goes on for the others. If more than CELL go on, the offsets are halved:
+either half shares more bytes, the next digit, by which it is dealt into cells.
+At a single offset the bytes are the window, so passes end.
 
 Texts are known by a 64-bit hash and their length, so exact copies are worked
 on once, and are removed whole. Defined results: null is the empty text; texts
@@ -21,7 +27,6 @@ columns are read.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,10 +34,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import cut, scratch
+from tidelog.llm.common import cut, quoted, scratch
 
-#: A group holds at most about CHUNK contexts of 368 bytes, 24 MB.
-WINDOW, GRAM, CHUNK = 200, 32, 65536
+#: A cell that is worked on in one piece holds CELL contexts of 368 bytes at most, 1.5 MB.
+WINDOW, GRAM, CELL = 200, 32, 4096
 SIDE = WINDOW - GRAM
 #: Bytes of text hashed together, and the place bits that go with it.
 FLAT, PLACE = 1 << 21, np.uint64(22)
@@ -106,7 +111,7 @@ def _anchor_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def _context_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes around the anchors of each text; of neighbouring rows with one text only the first counts."""
-    names = ["h", "chunk", "chunks", "k", "n", "pos", "context"]
+    names = ["cell", "k", "n", "pos", "context"]
     last = None
     for batch in batches:
         k, n, found = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
@@ -124,7 +129,7 @@ def _context_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                 context = pa.FixedSizeBinaryArray.from_buffers(pa.binary(SIDE + WINDOW), len(p), [None, pa.py_buffer(around.tobytes())]).cast(pa.binary())
                 some = order[at : at + TOGETHER]
                 yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(x.field(c).to_numpy()[some]) for c in names[:3]), pa.array(np.full(len(p), k[row])), pa.array(np.full(len(p), n[row])), pa.array(p.astype(np.int32)), context], names)
+                    [pa.array(x.field("h").to_numpy()[some]), pa.array(np.full(len(p), k[row])), pa.array(np.full(len(p), n[row])), pa.array(p.astype(np.int32)), context], names)
 
 
 def radix(group: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -153,18 +158,18 @@ def radix(group: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 class Windows:
-    """The windows around some anchors, by their class at each offset."""
+    """The windows around some anchors, by their class at each offset from ``lo`` to ``hi``."""
 
-    def __init__(self, group: np.ndarray, around: np.ndarray, pos: np.ndarray, n: np.ndarray):
+    def __init__(self, group: np.ndarray, lo: np.ndarray, hi: np.ndarray, around: np.ndarray, pos: np.ndarray, n: np.ndarray):
         self.size = len(group)
-        self.left_has, self.right_has = np.minimum(pos, SIDE), np.minimum(n - pos, WINDOW)
+        self.lo, self.hi = np.maximum(lo, WINDOW - (n - pos)), np.minimum(hi, pos)
         digits = lambda x: np.ascontiguousarray(x).view(">u8").astype(np.uint64)
         self.left = radix(group, digits(around[:, SIDE - 1 :: -1]))
         self.right = radix(group, digits(around[:, SIDE:]))
 
     def classes(self, offset: int) -> tuple[np.ndarray, np.ndarray]:
         """Rows that have a window from ``offset`` bytes before the anchor, and the class of each window."""
-        rows = np.flatnonzero((self.left_has >= offset) & (self.right_has >= WINDOW - offset))
+        rows = np.flatnonzero((self.lo <= offset) & (offset <= self.hi))
         out = np.zeros(self.size, np.int64)
         for (order, shared), depth in ((self.left, offset), (self.right, WINDOW - offset)):
             own = np.empty(self.size, np.int64)
@@ -173,42 +178,30 @@ class Windows:
         return rows, out[rows]
 
 
-def _window_hashes(around: np.ndarray, offset: int) -> np.ndarray:
-    raw = np.ascontiguousarray(around[:, SIDE - offset : SIDE - offset + WINDOW])
-    return np.array([int.from_bytes(hashlib.blake2b(r, digest_size=8).digest(), "little", signed=True) for r in raw], np.int64)
-
-
 def _match_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans of repeated windows; for grams dealt over several groups also a row for each window that differs within its group."""
-
-    def done(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        h, chunk, chunks, k, n, pos = (t.column(c).to_numpy() for c in range(6))
-        around = np.frombuffer(b"".join(t.column(6).to_pylist()), np.uint8).reshape(-1, SIDE + WINDOW)
+    """Spans of repeated windows; rows come sorted by cell, and whole cells are worked on."""
+
+    def done(t: pa.Table) -> pa.RecordBatch:
+        names = ("cell", "k", "n", "pos", "lo", "hi")
+        at = np.stack([t.column(c).to_numpy() for c in names[:4]])  # a text that is there twice may bring an anchor twice
+        t = t.filter(pa.array(np.r_[True, (at[:, 1:] != at[:, :-1]).any(0)]))
+        cell, k, n, pos, lo, hi = (t.column(c).to_numpy() for c in names)
+        around = np.frombuffer(b"".join(t.column("context").to_pylist()), np.uint8).reshape(-1, SIDE + WINDOW)
         pos = pos.astype(np.int64)
-        once = np.sort(np.unique(np.stack([h, chunk, k, n, pos]), axis=1, return_index=True)[1])
-        h, chunk, chunks, k, n, pos, around = (x[once] for x in (h, chunk, chunks, k, n, pos, around))
-        group = np.unique(np.stack([h, chunk]), axis=1, return_inverse=True)[1].ravel()
-        windows = Windows(group, around, pos, n)
-        lo, hi = np.full(len(h), SIDE + 1), np.full(len(h), -1)
-        dealt = chunks > 1
-        for offset in range(SIDE + 1):
+        windows = Windows(cell, lo, hi, around, pos, n)
+        first, last = np.full(len(cell), SIDE + 1), np.full(len(cell), -1)
+        for offset in range(int(lo.min()), int(hi.max()) + 1):
             rows, cls = windows.classes(offset)
             if not len(rows):
                 continue
             by = np.argsort(cls, kind="stable")
             same = cls[by][1:] == cls[by][:-1]
             twice = rows[by[np.r_[False, same] | np.r_[same, False]]]
-            lo[twice] = np.minimum(lo[twice], offset)
-            hi[twice] = np.maximum(hi[twice], offset)
-            if dealt.any():
-                one = rows[by[np.r_[True, ~same]]]
-                one = one[dealt[one]]
-                single = np.ones(len(h), bool)
-                single[twice] = False
-                if len(one):
-                    yield _matches(k[one], n[one], pos[one] - offset, pos[one] - offset + WINDOW, h[one], np.full(len(one), offset), _window_hashes(around[one], offset), single[one])
-        on = np.flatnonzero(hi >= 0)
-        yield _matches(k[on], n[on], pos[on] - hi[on], pos[on] - lo[on] + WINDOW)
+            first[twice] = np.minimum(first[twice], offset)
+            last[twice] = np.maximum(last[twice], offset)
+        on = np.flatnonzero(last >= 0)
+        ends = (pos[on] - last[on], pos[on] - first[on] + WINDOW)
+        return pa.RecordBatch.from_arrays([pa.array(k[on]), pa.array(n[on]), *(pa.array(x.astype(np.int32)) for x in ends)], ["k", "n", "start", "end"])
 
     held: list[pa.RecordBatch] = []
     for batch in batches:
@@ -216,20 +209,48 @@ def _match_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         if sum(b.num_rows for b in held) < TOGETHER:
             continue
         t = pa.Table.from_batches(held).combine_chunks()
-        h, chunk = t.column(0).to_numpy(), t.column(1).to_numpy()
-        new = np.flatnonzero((h[1:] != h[:-1]) | (chunk[1:] != chunk[:-1])) + 1
+        cell = t.column("cell").to_numpy()
+        new = np.flatnonzero(cell[1:] != cell[:-1]) + 1
         end = int(new[-1]) if len(new) else 0
         if end:
-            yield from done(t.slice(0, end))
+            yield done(t.slice(0, end))
         held = t.slice(end).to_batches()
     if held and sum(b.num_rows for b in held):
-        yield from done(pa.Table.from_batches(held).combine_chunks())
-
-
-def _matches(k, n, start, end, h=None, offset=None, content=None, single=None) -> pa.RecordBatch:  # noqa: ANN001
-    none = [pa.nulls(len(k), t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.bool_())]
-    more = none if h is None else [pa.array(h), pa.array(offset.astype(np.int32)), pa.array(content), pa.array(single)]
-    return pa.RecordBatch.from_arrays([pa.array(k), pa.array(n), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), *more], ["k", "n", "start", "end", "h", "offset", "content", "single"])
+        yield done(pa.Table.from_batches(held).combine_chunks())
+
+
+def _matched(rows: DataFrame) -> DataFrame:
+    """(k, n, start, end): spans of the windows repeated within a cell of (cell, lo, hi, k, n, pos, context)."""
+    return rows.repartition("cell").sortWithinPartitions("cell", "k", "n", "pos").mapInArrow(_match_batches, "k bigint, n int, start int, end int")
+
+
+def _written(df: DataFrame, kind: str) -> DataFrame:
+    at = scratch(df.sparkSession, kind)
+    df.write.parquet(at)
+    return df.sparkSession.read.parquet(at)
+
+
+def _passes(rows: DataFrame) -> DataFrame:
+    """``_matched`` of cells of any size."""
+    out, size = rows.select("k", "n", F.lit(0).alias("start"), F.lit(0).alias("end")).limit(0), WINDOW + SIDE
+    while True:
+        rows = rows.withColumn("a", F.greatest("lo", WINDOW - (F.col("n") - F.col("pos")))).withColumn("b", F.least("hi", "pos")).where("a <= b")
+        seen = F.expr(f"substring(context, {SIDE} - b + 1, {WINDOW} + b - a)")
+        rows = _written(rows.withColumn("c1", F.xxhash64(seen)).withColumn("c2", F.xxhash64(F.lit(1), seen)), "cells")
+        keys, mine = ["cell", "a", "b", "c1", "c2"], F.xxhash64("k", "n", "pos")
+        # Aggregates are written before they are joined: the join then shuffles both sides for itself, and Spark can split a hot key.
+        alike = cut(rows.groupBy(*keys).agg(F.count("*").alias("times"), F.min(mine).alias("lead")))
+        again = rows.select(*keys, "k", "n", "pos").join(alike.where("times > 1").select(*keys), keys)
+        out = out.union(again.select("k", "n", (F.col("pos") - F.col("b")).cast("int").alias("start"), (F.col("pos") - F.col("a") + WINDOW).cast("int").alias("end")))
+        leads = _written(rows.join(alike.select(*keys, "lead"), keys).where(mine == F.col("lead")).select("cell", "lo", "hi", "k", "n", "pos", "a", "b", "context"), "leads")
+        hot = cut(leads.groupBy("cell").agg(F.count("*").alias("times")).select("cell", (F.col("times") > CELL).alias("hot")).where("hot"))
+        out = out.union(_matched(leads.join(hot, "cell", "left_anti")))
+        if hot.limit(1).count() == 0:
+            return out
+        halves = F.expr("array(struct(lo as lo, int((lo + hi) div 2) as hi), struct(int(1 + (lo + hi) div 2) as lo, hi as hi))")
+        rows = leads.join(hot.select("cell"), "cell").withColumn("half", F.explode(halves)).where("greatest(a, half.lo) <= least(b, half.hi)")
+        digit = F.expr(f"substring(context, {SIDE} - half.lo + 1, {WINDOW} - half.hi + half.lo)")
+        rows = rows.select(F.xxhash64("cell", "half.lo", digit).alias("cell"), F.col("half.lo").cast("int").alias("lo"), F.col("half.hi").cast("int").alias("hi"), "k", "n", "pos", "context")
 
 
 def spans(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -237,24 +258,21 @@ def spans(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame
     raw = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     texts = docs.withColumn("_raw", raw).withColumn("k", F.xxhash64("_raw")).withColumn("n", F.octet_length("_raw"))
     long = texts.where(F.col("n") >= WINDOW).select("k", "n", "_raw")
-    at = scratch(docs.sparkSession, "anchors")
-    long.mapInArrow(_anchor_batches, "h bigint, k bigint, n int, pos int").write.parquet(at)
-    found = docs.sparkSession.read.parquet(at)
+    found = _written(long.mapInArrow(_anchor_batches, "h bigint, k bigint, n int, pos int"), "anchors")
     place = F.xxhash64("k", "n", "pos")
     again = found.groupBy("h").agg(F.count("*").alias("times"), F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi")
-    # Aggregates are written before they are joined: the join then shuffles both sides for itself, and Spark can split a hot key.
-    again = cut(again.select("h", F.ceil(F.col("times") / CHUNK).cast("int").alias("chunks")))
-    some = found.join(again, "h").withColumn("chunk", F.pmod(place, F.col("chunks")).cast("int"))
-    of_text = cut(some.groupBy("k", "n").agg(F.collect_set(F.struct("h", "chunk", "chunks", "pos")).alias("found")))
-    contexts = long.join(of_text, ["k", "n"]).select("k", "n", "_raw", "found").mapInArrow(_context_batches, "h bigint, chunk int, chunks int, k bigint, n int, pos int, context binary")
-    matches = contexts.repartition("h", "chunk").sortWithinPartitions("h", "chunk").mapInArrow(_match_batches, "k bigint, n int, start int, end int, h bigint, offset int, content bigint, single boolean")
-    to = scratch(docs.sparkSession, "matches")
-    matches.write.parquet(to)
-    matches = docs.sparkSession.read.parquet(to)
-    dealt = matches.where("h is not null")
-    shared = cut(dealt.groupBy("h", "offset", "content").agg(F.count("*").alias("groups")).where("groups > 1").select("h", "offset", "content"))
-    cols = ["k", "n", "start", "end"]
-    out = matches.where("h is null").select(cols).union(dealt.where("single").join(shared, ["h", "offset", "content"]).select(cols))
+    again = cut(again.select("h", (F.col("times") > CELL).alias("hot")))
+    of_text = cut(found.join(again, "h").groupBy("k", "n").agg(F.collect_set(F.struct("h", "hot", "pos")).alias("found")))
+
+    def contexts(hot: bool) -> DataFrame:
+        mine = of_text.withColumn("found", F.filter("found", lambda x: x["hot"] == hot)).where(F.size("found") > 0)
+        rows = long.join(mine, ["k", "n"]).select("k", "n", "_raw", "found").mapInArrow(_context_batches, "cell bigint, k bigint, n int, pos int, context binary")
+        return rows.withColumn("lo", F.lit(0)).withColumn("hi", F.lit(SIDE))
+
+    out = _matched(contexts(False))
+    if again.where("hot").limit(1).count():
+        # Texts that are there more than once may bring an anchor twice.
+        out = out.union(_passes(contexts(True).dropDuplicates(["cell", "k", "n", "pos"])))
     copies = texts.where(F.col("n") >= WINDOW).groupBy("k", "n").agg(F.count("*").alias("times")).where("times > 1")
     out = out.union(copies.select("k", "n", F.lit(0).alias("start"), F.col("n").alias("end")))
     return texts, cut(out.groupBy("k", "n").agg(F.collect_set(F.struct("start", "end")).alias("spans")))
@@ -287,7 +305,7 @@ def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_bytes, n_removed, n_spans, kept binary) for every row; a cut may fall inside a character."""
-    texts, found = spans(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_text")
+    texts, found = spans(docs.select(F.col(quoted(id_col)).alias("_id"), F.col(quoted(text_col)).alias("_text")), "_text")
     kind = docs.schema[id_col].dataType.simpleString()
     out = texts.join(found, ["k", "n"], "left").select("_id", "_raw", "spans").mapInArrow(_cut_batches, f"_id {kind}, n_removed bigint, n_spans bigint, kept binary")
     return out.select(F.col("_id").alias(id_col), (F.octet_length("kept") + F.col("n_removed")).cast("bigint").alias("n_bytes"), "n_removed", "n_spans", "kept")
