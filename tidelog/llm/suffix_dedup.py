@@ -10,13 +10,13 @@ gram are ordered by radix passes over eight-byte digits to both sides; a window
 is a pair of a left and a right class, and repeated if another anchor of the
 gram has the same pair.
 
-A gram with more than ``CELL`` anchors goes through further distributed passes
-first. A cell holds the anchors that agree in all bytes which windows of a range
-of offsets share; the gram is that for all offsets. Anchors of a cell with equal
-surroundings are counted, by hash, and are repeated in all their windows; one of
-them goes on for the others. If more than CELL go on, the offsets are halved:
-either half shares more bytes, the next digit, by which it is dealt into cells.
-At a single offset the bytes are the window, so passes end.
+Before that, anchors are dealt into cells: a cell holds those that agree in all
+bytes which windows of a range of offsets share; the gram is that for all
+offsets. Anchors of a cell with equal surroundings are counted, by a 128-bit
+hash, and are repeated in all their windows; one of them goes on for the others.
+If more than ``CELL`` go on, the offsets are halved: either half shares more
+bytes, the next digit, by which it is dealt into smaller cells. At a single
+offset the bytes are the window, so passes end.
 
 Texts are known by a 64-bit hash and their length, so exact copies are worked
 on once, and are removed whole. Defined results: null is the empty text; texts
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import cut, quoted, scratch
+from tidelog.llm.common import cut, quoted, scratch, sieved
 
 #: A cell that is worked on in one piece holds CELL contexts of 368 bytes at most, 1.5 MB.
 WINDOW, GRAM, CELL = 200, 32, 4096
@@ -219,38 +219,38 @@ def _match_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield done(pa.Table.from_batches(held).combine_chunks())
 
 
-def _matched(rows: DataFrame) -> DataFrame:
-    """(k, n, start, end): spans of the windows repeated within a cell of (cell, lo, hi, k, n, pos, context)."""
-    return rows.repartition("cell").sortWithinPartitions("cell", "k", "n", "pos").mapInArrow(_match_batches, "k bigint, n int, start int, end int")
-
-
 def _written(df: DataFrame, kind: str) -> DataFrame:
     at = scratch(df.sparkSession, kind)
-    df.write.parquet(at)
+    df.write.option("compression", "zstd").parquet(at)
     return df.sparkSession.read.parquet(at)
 
 
-def _passes(rows: DataFrame) -> DataFrame:
-    """``_matched`` of cells of any size."""
-    out, size = rows.select("k", "n", F.lit(0).alias("start"), F.lit(0).alias("end")).limit(0), WINDOW + SIDE
+def repeats(rows: DataFrame) -> DataFrame:
+    """(k, n, start, end): spans of the windows repeated within a cell of (cell, lo, hi, k, n, pos, context); a row may be there twice."""
+    out, keys = None, ["cell", "c1", "c2"]
     while True:
         rows = rows.withColumn("a", F.greatest("lo", WINDOW - (F.col("n") - F.col("pos")))).withColumn("b", F.least("hi", "pos")).where("a <= b")
         seen = F.expr(f"substring(context, {SIDE} - b + 1, {WINDOW} + b - a)")
-        rows = _written(rows.withColumn("c1", F.xxhash64(seen)).withColumn("c2", F.xxhash64(F.lit(1), seen)), "cells")
-        keys, mine = ["cell", "a", "b", "c1", "c2"], F.xxhash64("k", "n", "pos")
+        rows = rows.withColumn("c1", F.xxhash64("a", "b", seen)).withColumn("c2", F.xxhash64("b", "a", seen)).withColumn("mine", F.xxhash64("k", "n", "pos"))
+        rows = _written(rows, "cells")
         # Aggregates are written before they are joined: the join then shuffles both sides for itself, and Spark can split a hot key.
-        alike = cut(rows.groupBy(*keys).agg(F.count("*").alias("times"), F.min(mine).alias("lead")))
-        again = rows.select(*keys, "k", "n", "pos").join(alike.where("times > 1").select(*keys), keys)
-        out = out.union(again.select("k", "n", (F.col("pos") - F.col("b")).cast("int").alias("start"), (F.col("pos") - F.col("a") + WINDOW).cast("int").alias("end")))
-        leads = _written(rows.join(alike.select(*keys, "lead"), keys).where(mine == F.col("lead")).select("cell", "lo", "hi", "k", "n", "pos", "a", "b", "context"), "leads")
-        hot = cut(leads.groupBy("cell").agg(F.count("*").alias("times")).select("cell", (F.col("times") > CELL).alias("hot")).where("hot"))
-        out = out.union(_matched(leads.join(hot, "cell", "left_anti")))
-        if hot.limit(1).count() == 0:
+        alike = cut(rows.groupBy(*keys).agg(F.min("mine").alias("lead"), F.max("mine").alias("other")))
+        again = rows.select(*keys, "k", "n", "pos", "a", "b").join(alike.where("lead <> other").select(*keys), keys)
+        again = again.select("k", "n", (F.col("pos") - F.col("b")).cast("int").alias("start"), (F.col("pos") - F.col("a") + WINDOW).cast("int").alias("end"))
+        kinds = cut(alike.groupBy("cell").agg(F.count("*").alias("kinds")).where("kinds > 1").select("cell", (F.col("kinds") > CELL).alias("hot")))
+        heads = cut(alike.join(kinds, "cell").select(*keys, "lead", "hot"))
+        leads = sieved(rows, "mine", heads.select(F.col("lead").alias("mine"))).join(heads, keys).where("mine = lead")
+        leads = leads.select("cell", "lo", "hi", "k", "n", "pos", "a", "b", "context", "hot")
+        more = kinds.where("hot").limit(1).count() > 0
+        leads = _written(leads, "leads") if more else leads
+        few = leads.where("not hot").repartition("cell").sortWithinPartitions("cell", "k", "n", "pos").mapInArrow(_match_batches, "k bigint, n int, start int, end int")
+        out = again.union(few) if out is None else out.union(again).union(few)
+        if not more:
             return out
         halves = F.expr("array(struct(lo as lo, int((lo + hi) div 2) as hi), struct(int(1 + (lo + hi) div 2) as lo, hi as hi))")
-        rows = leads.join(hot.select("cell"), "cell").withColumn("half", F.explode(halves)).where("greatest(a, half.lo) <= least(b, half.hi)")
+        rows = leads.where("hot").withColumn("half", F.explode(halves)).where("greatest(a, half.lo) <= least(b, half.hi)")
         digit = F.expr(f"substring(context, {SIDE} - half.lo + 1, {WINDOW} - half.hi + half.lo)")
-        rows = rows.select(F.xxhash64("cell", "half.lo", digit).alias("cell"), F.col("half.lo").cast("int").alias("lo"), F.col("half.hi").cast("int").alias("hi"), "k", "n", "pos", "context")
+        rows = rows.select(F.xxhash64("cell", "half.lo", digit).alias("cell"), F.col("half.lo").alias("lo"), F.col("half.hi").alias("hi"), "k", "n", "pos", "context")
 
 
 def spans(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -260,19 +260,10 @@ def spans(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame
     long = texts.where(F.col("n") >= WINDOW).select("k", "n", "_raw")
     found = _written(long.mapInArrow(_anchor_batches, "h bigint, k bigint, n int, pos int"), "anchors")
     place = F.xxhash64("k", "n", "pos")
-    again = found.groupBy("h").agg(F.count("*").alias("times"), F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi")
-    again = cut(again.select("h", (F.col("times") > CELL).alias("hot")))
-    of_text = cut(found.join(again, "h").groupBy("k", "n").agg(F.collect_set(F.struct("h", "hot", "pos")).alias("found")))
-
-    def contexts(hot: bool) -> DataFrame:
-        mine = of_text.withColumn("found", F.filter("found", lambda x: x["hot"] == hot)).where(F.size("found") > 0)
-        rows = long.join(mine, ["k", "n"]).select("k", "n", "_raw", "found").mapInArrow(_context_batches, "cell bigint, k bigint, n int, pos int, context binary")
-        return rows.withColumn("lo", F.lit(0)).withColumn("hi", F.lit(SIDE))
-
-    out = _matched(contexts(False))
-    if again.where("hot").limit(1).count():
-        # Texts that are there more than once may bring an anchor twice.
-        out = out.union(_passes(contexts(True).dropDuplicates(["cell", "k", "n", "pos"])))
+    again = cut(found.groupBy("h").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("h"))
+    of_text = cut(found.join(again, "h").groupBy("k", "n").agg(F.collect_set(F.struct("h", "pos")).alias("found")))
+    contexts = long.join(of_text, ["k", "n"]).select("k", "n", "_raw", "found").mapInArrow(_context_batches, "cell bigint, k bigint, n int, pos int, context binary")
+    out = repeats(contexts.withColumn("lo", F.lit(0)).withColumn("hi", F.lit(SIDE)))
     copies = texts.where(F.col("n") >= WINDOW).groupBy("k", "n").agg(F.count("*").alias("times")).where("times > 1")
     out = out.union(copies.select("k", "n", F.lit(0).alias("start"), F.col("n").alias("end")))
     return texts, cut(out.groupBy("k", "n").agg(F.collect_set(F.struct("start", "end")).alias("spans")))
