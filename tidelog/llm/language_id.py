@@ -9,16 +9,15 @@ many distinct words at once in numpy; a bounded cache keeps word scores between
 batches.
 
 Defined results: ``und`` with score 0 for a null text, one without letters, and
-when no language was learned; a run of more than ``MAX_RUN`` letters is scored
-in pieces of that length, so whole texts count however long; ties go to the
-first language by name; equal rows get equal results; an empty table gives no
-rows. Labels and ids are never inputs of a prediction. The sample learned from
-is bounded by ``MAX_ROWS`` rows in all languages together.
+when no language was learned; runs of letters of any length are scored whole;
+ties go to the first language by name; equal rows get equal results; an empty
+table gives no rows. Labels and ids are never inputs of a prediction. The sample
+learned from is at most ``MAX_ROWS`` rows in all languages together, or one of
+each; a run so long that its probability is no number teaches nothing.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,15 +25,19 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from tidelog.llm.common import together
 
 #: Bound of the labelled rows learned from, shared evenly by the languages.
 MAX_ROWS = 2400
-#: Longest piece used, longest run of letters scored at once, words remembered.
-MAX_PIECE, MAX_RUN, CACHE_WORDS = 8, 64, 300_000
+#: Words remembered; letters of words that are scored together, or one longer word; texts and characters read together.
+CACHE_WORDS, CELLS, TEXTS, CHARS = 300_000, 400_000, 500, 2_000_000
 ROUNDS, SMOOTHING = 2, 0.05
-_LETTERS = re.compile(r"[^\W\d_]{1,%d}" % MAX_RUN).findall
+_LETTERS = regex.compile(r"\p{L}+").findall
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 START = "▁"
 
@@ -46,13 +49,13 @@ def words_of(text: str) -> list[str]:
 class Vocabulary:
     """The pieces of a vocabulary file that are letters with or without the word-start mark, found by hash."""
 
-    def __init__(self, path: str, max_piece: int = MAX_PIECE):
+    def __init__(self, path: str):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = {model.id_to_piece(i).lower() for i in range(model.get_piece_size())}
-        self.pieces = sorted(p for p in pieces if 0 < len(p) <= max_piece and (p == START or p.removeprefix(START).isalpha()))
-        code = np.zeros(0, np.uint64)
+        self.pieces = sorted(p for p in pieces if p == START or p.removeprefix(START).isalpha())
+        max_piece = max(map(len, self.pieces))
         size = np.array([len(p) for p in self.pieces])
         flat = self.codes("".join(self.pieces))
         at = np.cumsum(size) - size
@@ -99,32 +102,49 @@ class Vocabulary:
         return size, order, found
 
 
-def forward(size: np.ndarray, found: list[np.ndarray], prob: np.ndarray, unknown: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """alpha[place][word, language], each place scaled; the sum of logs of the scales, by word.
+def forward(size: np.ndarray, found: list[np.ndarray], prob: np.ndarray, unknown: np.ndarray) -> np.ndarray:
+    """log of the sum over all segmentations, by word and language.
 
     ``prob`` has a row of language probabilities for each piece, and one of zeros at the end. A lone
-    character that is no piece takes the probability ``unknown``.
+    character that is no piece takes the probability ``unknown``. Sums are kept for as many places as the
+    longest piece has, scaled at every place.
     """
     n, width, kinds = len(size), int(size[0]), prob.shape[1]
-    alpha = np.zeros((width + 1, n, kinds))
-    alpha[0] = 1
-    log = np.zeros(n)
+    out, log = np.zeros((n, kinds)), np.zeros(n)
+    held = [np.ones((n, kinds))]  # the last places, the latest first
+    ends = np.searchsorted(-size, -np.arange(width + 2), "right")  # rows are sorted by length, the longest first
     for t in range(1, width + 1):
-        live = int(np.searchsorted(-size, -t, "right"))  # rows are sorted by length, the longest first
+        live, after = int(ends[t]), int(ends[t + 1])
         now = np.zeros((live, kinds))
-        for k in range(1, min(t, len(found)) + 1):
+        for k, before in enumerate(held, 1):
             ids = found[k - 1][:live, t - k]
             p = prob[ids]
             if k == 1:
                 p = np.where((ids < 0)[:, None], unknown, p)
-            now += alpha[t - k, :live] * p
+            now += before[:live] * p
         scale = now.max(1)
         scale[scale <= 0] = 1
-        alpha[t, :live] = now / scale[:, None]
-        low = max(0, t - len(found) + 1)
-        alpha[low:t, :live] /= scale[:, None]
+        now /= scale[:, None]
         log[:live] += np.log(scale)
-    return alpha, log
+        out[after:live] = np.log(np.maximum(now[after:], 1e-300)) + log[after:live, None]
+        held = [now, *(before[:live] / scale[:, None] for before in held)][: len(found)]
+    return out
+
+
+def _grouped(words: list[str]) -> Iterator[np.ndarray]:
+    """Places of words of like length, with about CELLS letters in all when filled up to the longest."""
+    size = np.array([len(w) + 1 for w in words])
+    order = np.argsort(size, kind="stable")
+    at = 0
+    while at < len(order):
+        to = at + 1
+        step = CELLS // int(size[order[at]]) + 1
+        while to < len(order) and step:
+            step //= 2
+            while to + step <= len(order) and step and int(size[order[to + step - 1]]) * (to + step - at) <= CELLS:
+                to += step
+        yield order[at:to]
+        at = to
 
 
 @dataclass
@@ -139,11 +159,9 @@ class Model:
     def scores(self, vocab: Vocabulary, words: list[str]) -> np.ndarray:
         """log P(word) for each word and language."""
         out = np.zeros((len(words), len(self.langs)), np.float32)
-        for at in range(0, len(words), 20_000):
-            some = words[at : at + 20_000]
-            size, order, found = vocab.lattice(some)
-            alpha, log = forward(size, found, self.prob, self.unknown)
-            out[at + order] = np.log(np.maximum(alpha[size, np.arange(len(size))], 1e-300)) + log[:, None]
+        for some in _grouped(words):
+            size, order, found = vocab.lattice([words[k] for k in some])
+            out[some[order]] = forward(size, found, self.prob, self.unknown)
         return out
 
 
@@ -158,9 +176,9 @@ def fit(path: str, counts: dict[str, Counter], rounds: int = ROUNDS, smoothing:
         words = sorted(counts[lang])
         weight = np.array([counts[lang][w] for w in words], float)
         lattices = []
-        for at in range(0, len(words), 10_000):
-            size, order, found = vocab.lattice(words[at : at + 10_000])
-            lattices.append((size, weight[at : at + 10_000][order], found))
+        for some in _grouped(words):
+            size, order, found = vocab.lattice([words[k] for k in some])
+            lattices.append((size, weight[some[order]], found))
         mass = np.zeros(size_v + 1)
         for _, w, found in lattices:
             for ids in found:
@@ -234,7 +252,7 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def learn(docs: DataFrame, path: str, may_learn: Column | None = None, text_col: str = "text", lang_col: str = "lang", max_rows: int = MAX_ROWS) -> Model:
-    """Learns from rows with a label and ``may_learn``: about max_rows / languages of each, picked by a hash of the text."""
+    """Learns from rows with a label and ``may_learn``: at most max_rows / languages of each, those of the least hashes of their texts."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows if may_learn is None else rows.where(may_learn)
     rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
@@ -243,8 +261,10 @@ def learn(docs: DataFrame, path: str, may_learn: Column | None = None, text_col:
         return fit(path, {})
     share = F.lit(0)
     for lang, n in sorted(kinds.items()):
-        share = F.when(F.col("lang") == lang, min(1_000_000, max_rows * 1_000_000 // (len(kinds) * n) + 1)).otherwise(share)
-    some = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share).mapInArrow(_count_batches, "lang string, word string, n bigint")
+        share = F.when(F.col("lang") == lang, min(1_000_000, 2 * max_rows * 1_000_000 // (len(kinds) * n) + 1)).otherwise(share)
+    h = F.pmod(F.xxhash64("text"), F.lit(1_000_000))
+    ranked = rows.where(h < share).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(h, "text")))
+    some = ranked.where(F.col("rank") <= max(1, max_rows // len(kinds))).select("lang", "text").mapInArrow(_count_batches, "lang string, word string, n bigint")
     counts: dict[str, Counter] = {}
     for lang, word, n in some.groupBy("lang", "word").agg(F.sum("n").alias("n")).toPandas().itertuples(index=False):
         counts.setdefault(lang, Counter())[word] = int(n)
@@ -260,9 +280,9 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         model = sent.value
         vocab, cache, known = Vocabulary(model.path), {}, [np.zeros((0, len(model.langs)), np.float32)]
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                lang, score = predict_texts(model, vocab, part.column(1).to_pylist(), cache, known)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang), pa.array(score)], ["_id", "lang_pred", "score"])
+            texts = batch.column(1).to_pylist()
+            for a, b in together(texts, TEXTS, CHARS):
+                lang, score = predict_texts(model, vocab, texts[a:b], cache, known)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(lang), pa.array(score)], ["_id", "lang_pred", "score"])
 
     return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, f"_id {kind}, lang_pred string, score double").withColumnRenamed("_id", id_col)
