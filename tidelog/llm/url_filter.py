@@ -13,8 +13,8 @@ with many pages is aggregated before it is shuffled, and joined by template.
 Rules are (host, path prefix, verdict): a rule fits its host and all subdomains
 if the path starts with its prefix; the longest wins. Defined results: a null
 url, or one without ``://``, has an empty host and path, fits no rule, and is
-judged like any other template; paths below ``DEPTH`` segments share a tail
-template; repeated rows are judged alike; an empty table gives no rows.
+judged like any other template; trees are as deep as any two paths run
+together; repeated rows are judged alike; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tidelog.llm.common import cut
 
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-FANOUT, SUPPORT, DEPTH = 20, 5, 6
+FANOUT, SUPPORT = 20, 5
 PRIOR, WEIGHT, REJECT = 0.1, 2.0, 0.8
 #: How far a branch's child shares, and its bad share, may be from its siblings' and still merge.
 ALIKE = 0.2
@@ -51,9 +51,8 @@ def by_rules(host: Column, path: Column, rules: tuple[tuple[str, str, str], ...]
 
 
 def segments(path: Column) -> Column:
-    """The segments of a path with variable parts as wildcards; a tail beyond DEPTH is one segment."""
+    """The segments of a path with variable parts as wildcards."""
     parts = F.split(F.regexp_replace(path, "^/", ""), "/")
-    parts = F.when(F.size(parts) > DEPTH, F.concat(F.slice(parts, 1, DEPTH - 1), F.array(F.lit("**")))).otherwise(parts)
     return F.transform(parts, lambda s: F.regexp_replace(F.regexp_replace(s, r"(?i)(?<![0-9a-z])(?=[0-9a-f-]*[0-9])[0-9a-f-]{8,}(?![0-9a-z])", "*"), "[0-9]+", "*"))
 
 
@@ -74,9 +73,12 @@ def templates(labelled: DataFrame, prior: float = PRIOR, weight: float = WEIGHT,
     """From (host, segs, bad: 1, 0 or null): (host, segs, template, verdict) for each host and list of segments."""
     nodes = labelled.groupBy("host", "segs").agg(F.count("*").alias("n"), F.count("bad").alias("known"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
     nodes = cut(nodes.withColumn("to", F.col("segs")))
-    depth = nodes.agg(F.max(F.size("to"))).first()[0] or 0
-    for d in range(depth):  # a node with many children of little support: all of them one wildcard
-        here = nodes.where(F.size("to") > d)
+    depth = 0
+    while True:  # a node with many children of little support: all of them one wildcard
+        d, here = depth, nodes.where(F.size("to") > depth)
+        if not here.groupBy("host", _prefix(d)).agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+            break  # no two paths go on together, so deeper there is nothing to generalise or merge
+        depth += 1
         kids = here.groupBy("host", _prefix(d).alias("above"), F.get("to", F.lit(d)).alias("seg")).agg(F.sum("n").alias("n"))
         wide = kids.groupBy("host", "above").agg(F.count("*").alias("kids"), F.sum("n").alias("n")).where((F.col("kids") > FANOUT) & (F.col("n") < SUPPORT * F.col("kids")))
         wide = wide.select(F.col("host").alias("_h"), F.col("above").alias("_a"))
