@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -32,10 +33,17 @@ from pyspark.sql import functions as F
 from tidelog.llm.common import cut
 
 MAX_GAP, MAX_READ, BUFFER = 1 << 16, 1 << 23, 1 << 22
+#: Archive bytes that a task reads back, about.
+TASK = 1 << 22
 DATE = "2024-01-01T00:00:00Z"
 _INDEX = "page_id bigint, url string, file string, offset bigint, length bigint, digest string, record_type string"
 
 
+def opened(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a URI and the path in it; Hadoop's names for S3 are known."""
+    return fs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", folder))
+
+
 def digest32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
@@ -76,7 +84,7 @@ def parse(raw: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
 
 def _writer(folder: str):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = fs.FileSystem.from_uri(folder)
+        store, base = opened(folder)
         name, out, at = f"{uuid.uuid4().hex}.warc.gz", None, 0
         held = bytearray()
         for batch in batches:
@@ -106,7 +114,7 @@ def _writer(folder: str):  # noqa: ANN202
 
 def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0) -> DataFrame:
     """Writes every row under ``folder`` (a URI) and returns the index, read from ``folder``/index."""
-    store, base = fs.FileSystem.from_uri(folder)
+    store, base = opened(folder)
     store.create_dir(base, recursive=True)
     payload = F.coalesce(F.col(html_col).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"))
@@ -135,7 +143,7 @@ def ranges(rows: list[tuple[str, int, int]]) -> Iterator[tuple[int, int]]:
 
 def _reader(folder: str, with_payload: bool):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = fs.FileSystem.from_uri(folder)
+        store, base = opened(folder)
         name, source = None, None
         for batch in batches:
             rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
@@ -160,7 +168,9 @@ def _reader(folder: str, with_payload: bool):  # noqa: ANN202
 
 def read(index: DataFrame, folder: str, with_payload: bool = True) -> DataFrame:
     """The records of the selected index rows: page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload (null in revisits' stead: empty)."""
-    rows = index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    size = index.agg(F.sum("length")).first()[0] or 0
+    parts = max(1, -(-int(size) // TASK))
+    rows = index.select("file", "offset", "length").repartitionByRange(parts, "file", "offset").sortWithinPartitions("file", "offset")
     return rows.mapInArrow(_reader(folder, with_payload), "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload binary")
 
 
