@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tidelog.llm import bpe, common, decontaminate, language_id, line_dedup, quality_rules, simhash, suffix_dedup, toxicity, url_filter, warc
-from tidelog.llm.queries import TOKENIZERS
+from tidelog.llm.queries import vocabulary
 
 WORDS = r"[^\x20\x09-\x0D]+"
 ODD = [None, "", " ", "\n\n", "\x00", "a", "word " * 300, "ÄÖÜ straße\tx\x0by\x0cz\r\n", "x" * 5000, "日本語 テキスト", "same text here", "same text here"]
@@ -153,16 +153,26 @@ def test_trie_join_of_hot_blocks(spark, monkeypatch, cell):
 
 def test_keep_one(spark):
     r = random.Random(9)
-    text = " ".join(str(r.randrange(1000)) for _ in range(400))
-    bits = lambda t: int(simhash.majority(np.array(h := simhash.shingle_hashes(t.encode(), 5), np.uint64), np.array([0]), np.array([len(h)]))[0])
-    copies = (" ".join(w[:k] + ["other"] + w[k + 1 :]) for k in range(400) if (w := text.split(" ")))
-    near = next(t for t in copies if (bits(t) ^ bits(text)).bit_count() <= 2)
+    words = [str(r.randrange(1000)) for _ in range(400)]
+    text, near = " ".join(words), edits(words, set(r.sample(range(400), 6)), "x")
+    assert shingle_jaccard(text, near) >= 0.8
     texts = ["clean words that stand alone here", text, near, text, "", None]
     kept = simhash.keep_one(frame(spark, texts), width=5)
     assert sorted(x["doc_id"] for x in kept.collect() if x["doc_id"] is not None) == [0, 1, 4]
     assert kept.columns == frame(spark, texts).columns and kept.where("doc_id is null").count() == 1
 
 
+def test_keep_one_of_repeated_ids_and_rows(spark):
+    r = random.Random(10)
+    text, other, third = (" ".join(str(r.randrange(1000)) for _ in range(100)) for _ in range(3))
+    rows = [(1, text, "a"), (1, text, "a"), (2, text, "b"), (2, other, "c"), (3, third, "d"), (None, third, "e"), (None, "alone here", "f"), (None, "alone here", "f")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, `my col` string")
+    kept = simhash.keep_one(docs, width=5)
+    assert kept.columns == docs.columns
+    assert Counter(map(tuple, kept.collect())) == Counter([rows[0], rows[3], rows[4], rows[6]])
+    assert simhash.keep_one(docs.where("false"), width=5).count() == 0
+
+
 def edits(words, places, mark):
     return " ".join(f"{mark}{k}" if k in places else w for k, w in enumerate(words))
 
@@ -217,20 +227,20 @@ def test_language_id(spark):
         lang = list(parts)[i % 3]
         rows.append((i, " ".join("".join(r.choice(parts[lang]) for _ in range(r.randint(1, 4))) for _ in range(r.randint(3, 40))), lang))
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
-    path = f"{TOKENIZERS}/piece_bpe_32k.model"
+    path = vocabulary("piece_bpe_32k.model")
     model = language_id.learn(docs, path, F.col("doc_id") % 4 != 2)
     got = {x["doc_id"]: x for x in language_id.predict(docs.drop("lang"), model).collect()}
     held = [got[i]["lang_pred"] == lang for i, _, lang in rows if i % 4 == 2]
     assert sum(held) / len(held) > 0.95
-    odd = by_id(language_id.predict(frame(spark, [*ODD, "123 !? _"]), model))
-    assert [odd[i]["lang_pred"] for i in (0, 1, 2, 4, 12)] == ["und"] * 5 and all(0 <= x["score"] <= 1 for x in odd.values())
+    odd = by_id(language_id.predict(frame(spark, [*ODD, "123 !? _", "½ ²", "① ②", "Ⅷ", "y" * 3000]), model))
+    assert [odd[i]["lang_pred"] for i in (0, 1, 2, 4, 12, 13, 14, 15)] == ["und"] * 8 and odd[16]["lang_pred"] in model.langs and all(0 <= x["score"] <= 1 for x in odd.values())
     assert odd[5]["lang_pred"] != "und" and odd[8]["lang_pred"] in model.langs
     assert language_id.predict(none(spark), model).count() == 0
     assert {x["lang_pred"] for x in language_id.predict(docs, language_id.learn(docs.where("false"), path)).collect()} == {"und"}
 
     vocab = language_id.Vocabulary(path)
     index = {p: k for k, p in enumerate(vocab.pieces)}
-    for word in ("the", "schaftung", "réal", "漢字", "x" * 64):
+    for word in ("the", "schaftung", "réal", "漢字", "x" * 64, "internationalisation" * 6):
         for j in range(len(model.langs)):
             marked, alpha = language_id.START + word, [1.0]
             for t in range(1, len(word) + 2):
@@ -242,7 +252,7 @@ def test_language_id(spark):
 
 
 def test_url_rules(spark):
-    urls = [None, "", "net/", "http://NET", "http://A.Net/x", "x://e.example.NET/en/1?q", "a://example.com/de/", "a://sub.example.com/de", "a://b.org/fr/\n9#z", "a://xnet/", "a://org/fr/1", "://example.net/en/x/y/z/1/2/3/4/5", "a://b?c/d", "a://h#f"]
+    urls = [None, "", "net/", "http://NET", "http://A.Net/x", "x://e.example.NET/en/1?q", "a://example.com/de/", "a://sub.example.com/de", "a://b.org/fr/\n9#z", "a://xnet/", "a://org/fr/1", "://example.net/en/x/y/z/1/2/3/4/5", "a://b?c/d", "a://h#f", "a://q.x/a/b/c/d/e/f/g/spam/1", "a://q.x/a/b/c/d/e/f/g/news/1"]
     df = spark.createDataFrame([(i, u, "c") for i, u in enumerate(urls)] + [(1, "", "c")], "page_id bigint, url string, host string")
     got = url_filter.judge(df).collect()
     assert len(got) == len(df.collect())
@@ -265,6 +275,14 @@ def test_url_templates(spark):
     assert len({got[i]["template"] for i in range(60, 120)}) == 1 and got[121]["verdict"] == "allow"
 
 
+def test_url_trees_have_no_depth_limit(spark):
+    deep = "a://h.x/" + "/".join("abcdefghij")
+    rows = [(f"{deep}/spam/{'xyz'[i % 3]}{i}", 1) for i in range(30)] + [(f"{deep}/news/{'xyz'[i % 3]}{i}", 0) for i in range(30)]
+    df = spark.createDataFrame([(i, u, y) for i, (u, y) in enumerate(rows)], "page_id bigint, url string, bad int")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(df, rules=(), label=F.col("bad")).collect()}
+    assert {got[i] for i in range(30)} == {"block"} and {got[i] for i in range(30, 60)} == {"allow"}
+
+
 def test_url_verdict_reaches_unlabelled_pages(spark):
     rows = [(f"a://h.x/spam/{i}", 1 if i < 100 else None) for i in range(130)] + [(f"a://h.x/news/{i}", 0 if i < 100 else None) for i in range(130)]
     rows += [(f"a://g.x/spam/{i}", 1 if i < 20 else None) for i in range(200)]
@@ -279,7 +297,7 @@ def test_url_verdict_reaches_unlabelled_pages(spark):
 def test_bpe(spark):
     from tokenizers import Tokenizer
 
-    path = f"{TOKENIZERS}/word_bpe_49k.json"
+    path = vocabulary("word_bpe_49k.json")
     library, mine = Tokenizer.from_file(path), bpe.WordBpe(path, cache_words=50)
     r = random.Random(1)
     letters = "aAbBzZ éÉßΣςσ İıſḰ̈'sStT'll 019²½ \t\n\r  \x1c\x85!?<|>$%漢字🙂👍🏽ﬁǅ"
@@ -342,6 +360,8 @@ def test_decontaminate(spark):
     assert got == want and len(want) > 20
     blocks = {(x["doc_id"], x["item_id"]): round(x["score"], 9) for x in decontaminate.contaminated(docs, bench, block=60).collect()}
     assert blocks == want
+    odd = docs.select("doc_id", "text", F.lit(1).alias("my col"), F.lit(2).alias("a.b"))
+    assert decontaminate.clean(odd, bench).columns == odd.columns
     kept = decontaminate.clean(docs, bench)
     assert sorted(x["doc_id"] for x in kept.where("doc_id is not null").collect()) == sorted(set(range(len(texts))) - {i for i, _ in want})
     assert kept.columns == docs.columns
@@ -415,7 +435,7 @@ def test_quality_rules_learn(spark):
     rules = quality_rules.learn(docs, spark.createDataFrame([*y, (None, 0), (3, None)], "doc_id bigint, quality int").where("doc_id is null or doc_id % 3 > 0"))
     got = {x["doc_id"]: x["kept"] for x in quality_rules.apply(docs, rules).collect()}
     assert rules.rules and sum(got[i] == (i % 5 != 0) for i in got) / len(got) > 0.97
-    extra = docs.withColumn("n_words", F.lit("clash")).withColumn("lang", F.lit(None).cast("string"))
+    extra = docs.withColumn("my col", F.lit(1)).withColumn("n_words", F.lit("clash")).withColumn("lang", F.lit(None).cast("string"))
     kept = quality_rules.filter_documents(extra, rules)
     assert sorted(x["doc_id"] for x in kept.collect()) == sorted(i for i, k in got.items() if k) and kept.columns == extra.columns
     assert quality_rules.learn(docs, spark.createDataFrame([], "doc_id bigint, quality int")).rules == []

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator, Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.session import cut, scratch, shared_dir
 
-__all__ = ["connected_components", "cut", "quoted", "scratch", "shared_dir", "sieved", "table"]
+__all__ = ["connected_components", "cut", "packed", "quoted", "scratch", "shared_dir", "sieved", "table", "together"]
 #: Rows of 64 bits that a sieve has at most: 4 MB, whatever is sieved.
 SIEVE = 1 << 18
 
@@ -21,6 +23,24 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def packed(docs: DataFrame) -> Column:
+    """Every column of a row as one struct."""
+    return F.struct(*[F.col(quoted(c)) for c in docs.columns])
+
+
+def together(texts: Sequence[str | None], rows: int, chars: int) -> Iterator[tuple[int, int]]:
+    """Runs [a, b) of at most ``rows`` texts and ``chars`` characters, or of one longer text."""
+    a, held = 0, 0
+    for b, t in enumerate(texts):
+        size = len(t or "")
+        if b > a and (b - a >= rows or held + size > chars):
+            yield a, b
+            a, held = b, 0
+        held += size
+    if a < len(texts):
+        yield a, len(texts)
+
+
 def sieved(df: DataFrame, name: str, some: DataFrame) -> DataFrame:
     """The rows of ``df`` whose column ``name`` is among those of ``some``, and a few others.
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import connected_components, cut
+from tidelog.llm.common import connected_components, cut, packed, quoted, sieved
 
 BITS, SEED, SHINGLE, BUDGET = 64, 42, 3, 2
 #: Fingerprints that one trie walk holds; a larger cell is split by its next STEP bits.
@@ -319,25 +319,27 @@ def _beaten(edges: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, least: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` without those whose text is a copy of one that stays and has a smaller id.
+    """The rows of ``docs`` without those whose text is a copy of one that stays and comes first by id.
 
     A copy's shingles have a Jaccard similarity of ``least`` or more with the other's. Texts that share one of
     BANDS keys, each of BAND_ROWS least hashes, are candidates: at 0.8 all but 6 in 100,000 pairs. While a key
     has more than CROWD texts, all are held against its first one, which stays once it is the first of all its
     keys; then all pairs that are left. So no two candidates that both stay are copies, and what goes is a copy
-    of a text that stays. Rows that repeat an id and a text stay or go together; rows with a null id stay.
+    of a text that stays. Null ids come last; null is the empty text; of rows that repeat an id and a text one
+    stays; a text goes or stays whatever other texts have its id.
     """
-    body = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
-    rows = cut(docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.xxhash64(body).alias("node")))
-    firsts = cut(rows.groupBy("node").agg(F.min("_id").alias("first")))
-    some = docs.where(F.col(id_col).isNotNull()).select(F.xxhash64(body).alias("node"), body.alias("text"))
+    body = F.coalesce(F.col(quoted(text_col)).cast("binary"), F.lit(b""))
+    named = docs.select(packed(docs).alias("_row"), F.col(quoted(id_col)).alias("_id"), body.alias("text")).withColumn("node", F.xxhash64("text"))
+    times = cut(named.groupBy("_id", "node").agg(F.count("*").alias("times")))
+    firsts = cut(times.groupBy("node").agg(F.min(F.struct(F.col("_id").isNull().alias("last"), "_id")).alias("first")))
+    some = named.select("node", "text")
     keys = some.mapInArrow(lambda b: _bands(width, b), "node bigint, keys array<bigint>").select("node", F.explode("keys").alias("key")).distinct()
     live = cut(keys.join(firsts, "node").select("key", F.struct("first", "node").alias("rank")))
     rank_first = lambda d: d.groupBy("key").agg(F.min("rank").alias("head"), F.count("*").alias("n")).where("n > 1")
     sizes = cut(rank_first(live))
     live = cut(live.join(sizes.select("key"), "key"))
     near = cut(live.select(F.col("rank.node").alias("node")).distinct())
-    texts = cut(some.join(near, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")))
+    texts = cut(sieved(some, "node", near).join(near, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")))
     gone = []
     while True:
         sizes = cut(rank_first(live))
@@ -356,7 +358,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     beaten = gone[0]
     for g in gone[1:]:
         beaten = beaten.union(g)
-    beaten = beaten.withColumn("beaten", F.lit(True))
-    out = rows.join(firsts, "node").join(beaten, "node", "left").where(F.col("beaten") | (F.col("_id") != F.col("first")))
-    out = cut(out.select(F.col("_id").alias("_gone"), F.col("node").alias("_node")).distinct())
-    return docs.join(out, (docs[id_col] == out["_gone"]) & (F.xxhash64(body) == out["_node"]), "left_anti")
+    stay = firsts.join(beaten.distinct(), "node", "left_anti").select(F.col("first._id").alias("_own"), F.col("node").alias("_node"))
+    stay = cut(stay.join(times, stay["_own"].eqNullSafe(times["_id"]) & (stay["_node"] == times["node"])).select("_own", "_node", "times"))
+    rows = named.drop("text").join(stay, named["_id"].eqNullSafe(stay["_own"]) & (named["node"] == stay["_node"])).select("_row", "_id", "node", "times")
+    once = rows.where("times > 1").groupBy("_id", "node").agg(F.first("_row").alias("_row")).select("_row")
+    return rows.where("times = 1").select("_row").union(once).select("_row.*")
