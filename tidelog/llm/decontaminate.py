@@ -33,10 +33,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidelog.llm.common import packed, quoted, together
 
 SEED, WORDS, LEAST, BLOCK = 3, 5, 0.6, 2_000_000
 #: Cells of one row of alignments that are worked on together.
 CELLS = 500_000
+#: Texts, and characters of them, that are read together; a longer text is read alone.
+TEXTS, CHARS = 1000, 4_000_000
 _WORDS = re.compile(r"\w+").findall
 
 
@@ -182,11 +187,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             for batch in batches:
-                for at in range(0, batch.num_rows, 1000):
-                    part = batch.slice(at, 1000)
-                    if got := matches(sent.value, part.column(1).to_pylist(), least):
+                texts = batch.column(1).to_pylist()
+                for a, b in together(texts, TEXTS, CHARS):
+                    if got := matches(sent.value, texts[a:b], least):
                         rows, item, score, n, start, end = zip(*got, strict=True)
-                        yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), pa.array(item), pa.array(score), pa.array(n, pa.int32()), pa.array(start, pa.int32()), pa.array(end, pa.int32())], ["_id", "_item", "score", "n_seeds", "start_word", "end_word"])
+                        yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(rows)), pa.array(item), pa.array(score), pa.array(n, pa.int32()), pa.array(start, pa.int32()), pa.array(end, pa.int32())], ["_id", "_item", "score", "n_seeds", "start_word", "end_word"])
 
         out = out.union(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, schema))
     return out.withColumnRenamed("_id", id_col).withColumnRenamed("_item", item_col)
@@ -196,15 +201,15 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
     """The rows of ``docs`` that have a copy of no item, with their columns; ids play no part."""
     for items in blocks(benchmark, item_col, item_text_col, least, block):
         sent = docs.sparkSession.sparkContext.broadcast(items)
-        packed = docs.select(F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("_row"), F.col(text_col).alias("_text"))
+        rows = docs.select(packed(docs).alias("_row"), F.col(quoted(text_col)).alias("_text"))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             for batch in batches:
-                for at in range(0, batch.num_rows, 1000):
-                    part = batch.slice(at, 1000)
-                    stay = np.ones(part.num_rows, bool)
-                    stay[[m[0] for m in matches(sent.value, part.column(1).to_pylist(), least)]] = False
-                    yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(stay))], ["_row"])
+                texts = batch.column(1).to_pylist()
+                for a, b in together(texts, TEXTS, CHARS):
+                    stay = np.ones(b - a, bool)
+                    stay[[m[0] for m in matches(sent.value, texts[a:b], least)]] = False
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).filter(pa.array(stay))], ["_row"])
 
-        docs = packed.mapInArrow(run, f"_row {packed.schema['_row'].dataType.simpleString()}").select("_row.*")
+        docs = rows.mapInArrow(run, T.StructType([rows.schema["_row"]])).select("_row.*")
     return docs

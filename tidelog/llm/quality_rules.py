@@ -23,6 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidelog.llm.common import packed, quoted
 
 MIN_WORDS = 50
 MAX_LABELLED = 20_000
@@ -212,6 +215,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     picked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).alias("_label"))
     picked = picked.orderBy(F.xxhash64("_id"), "_id").limit(max_labelled)
     some = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(picked.select("_id").distinct()), "_id", "left_semi")
+    some = some.groupBy("_id").agg(F.min("_text").alias("_text"))  # one text for an id, so the rows learned from are bounded
     rows = text_statistics(some, "_id", "_text").join(picked, "_id").where(~base_failed()).select(*STATISTICS, "_label", "_id").toPandas().sort_values(["_id", "n_words"])
     if rows.empty:
         return DecisionList()
@@ -226,13 +230,9 @@ def apply(docs: DataFrame, rules: DecisionList, id_col: str = "doc_id", text_col
 
 def filter_documents(docs: DataFrame, rules: DecisionList, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with their columns; ids play no part."""
-    names = docs.columns
-    kinds = {f.name: f.dataType for f in docs.schema}
-    packed = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("_row"), F.col(text_col).alias("_text"))
-    schema = f"_row {packed.schema['_row'].dataType.simpleString()}, " + ", ".join(f"{s} bigint" for s in STATISTICS)
-
-    assert kinds
-    out = packed.mapInArrow(_measure_rows, schema)
+    rows = docs.select(packed(docs).alias("_row"), F.col(quoted(text_col)).alias("_text"))
+    schema = T.StructType([rows.schema["_row"], *(T.StructField(s, T.LongType()) for s in STATISTICS)])
+    out = rows.mapInArrow(_measure_rows, schema)
     return out.where(~base_failed() & rules.verdict()).select("_row.*")
 
 

@@ -9,8 +9,11 @@ from tidelog.llm import bpe, decontaminate, language_id, line_dedup, quality_rul
 from tidelog.llm.common import scratch, table
 
 
-#: The folder of public vocabulary files; they are read where they lie.
-TOKENIZERS = "/opt/tokenizers"
+def vocabulary(name: str) -> str:
+    """Where a public vocabulary file lies; it is read there."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,7 +29,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
-    model = language_id.learn(docs, f"{TOKENIZERS}/piece_bpe_32k.model", ~held_out)
+    model = language_id.learn(docs, vocabulary("piece_bpe_32k.model"), ~held_out)
     return language_id.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
@@ -35,7 +38,7 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+    return bpe.digests(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
