@@ -13,11 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, else a folder made for a local session."""
+    """spark.checkpoint.dir, else a folder made for a session whose executor is the driver."""
     sc = spark.sparkContext
     if named := sc.getConf().get("spark.checkpoint.dir"):
         return named.rstrip("/")
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         made = tempfile.mkdtemp(prefix="tidelog-")
         atexit.register(shutil.rmtree, made, True)
         sc.setCheckpointDir(f"file://{made}")
