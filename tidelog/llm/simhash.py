@@ -258,6 +258,11 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def small(df: DataFrame) -> DataFrame:
+    """For the joins of rounds: merged, as each broadcast takes the driver some MB until its garbage is collected, and rounds may be many."""
+    return df.hint("merge")
+
+
 def jaccard(a: bytes, b: bytes, width: int) -> float:
     """Of the two texts' sets of shingles; two texts without words are equal."""
     x, y = set(shingle_hashes(a, width)), set(shingle_hashes(b, width))
@@ -301,20 +306,21 @@ def _copies(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> Dat
 
     # A head's text is sent once for each HEAD of its pairs, so that no task holds all of them.
     many = cut(pairs.groupBy("a").agg(F.ceil(F.count("*") / HEAD).cast("int").alias("parts")))
-    heads = many.join(texts, many.a == texts.node).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("text").alias("s"))
-    dealt = cut(pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part")))
-    dealt = dealt.join(texts.select(F.col("node").alias("b"), F.col("text").alias("t")), "b")
-    return dealt.join(heads, ["a", "part"]).select("a", "b", "s", "t").mapInArrow(alike, "a bigint, b bigint")
+    heads = many.join(small(texts), many.a == texts.node).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("text").alias("s"))
+    dealt = cut(pairs.join(small(many), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part")))
+    dealt = dealt.join(small(texts.select(F.col("node").alias("b"), F.col("text").alias("t"))), "b")
+    return dealt.join(small(heads), ["a", "part"]).select("a", "b", "s", "t").mapInArrow(alike, "a bigint, b bigint")
 
 
 def _beaten(edges: DataFrame) -> DataFrame:
     """(node): what goes if, by rank, a node stays unless an earlier one that stays has an edge (a, b) to it."""
     gone = edges.select(F.col("b").alias("node")).limit(0)
     while edges.limit(1).count():
-        firsts = edges.select("a").distinct().join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
-        now = cut(edges.join(firsts, "a", "left_semi").select(F.col("b").alias("node")).distinct())
+        firsts = edges.select("a").distinct().join(small(edges.select(F.col("b").alias("a")).distinct()), "a", "left_anti")
+        now = cut(edges.join(small(firsts), "a", "left_semi").select(F.col("b").alias("node")).distinct())
         gone = gone.union(now)
-        edges = cut(edges.join(now, edges.a == now.node, "left_anti").join(now, F.col("b") == now.node, "left_anti"))
+        out = small(now)
+        edges = cut(edges.join(out, edges.a == out.node, "left_anti").join(out, F.col("b") == out.node, "left_anti"))
     return gone
 
 
@@ -334,31 +340,31 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     firsts = cut(times.groupBy("node").agg(F.min(F.struct(F.col("_id").isNull().alias("last"), "_id")).alias("first")))
     some = named.select("node", "text")
     keys = some.mapInArrow(lambda b: _bands(width, b), "node bigint, keys array<bigint>").select("node", F.explode("keys").alias("key")).distinct()
-    live = cut(keys.join(firsts, "node").select("key", F.struct("first", "node").alias("rank")))
+    live = cut(keys.join(small(firsts), "node").select("key", F.struct("first", "node").alias("rank")))
     rank_first = lambda d: d.groupBy("key").agg(F.min("rank").alias("head"), F.count("*").alias("n")).where("n > 1")
     sizes = cut(rank_first(live))
-    live = cut(live.join(sizes.select("key"), "key"))
+    live = cut(live.join(small(sizes.select("key")), "key"))
     near = cut(live.select(F.col("rank.node").alias("node")).distinct())
-    texts = cut(sieved(some, "node", near).join(near, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")))
+    texts = cut(sieved(some, "node", near).join(small(near), "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")))
     gone = []
     while True:
-        sizes = cut(rank_first(live))
         if not sizes.where(F.col("n") > CROWD).limit(1).count():
             break
-        held = cut(live.join(sizes, "key"))
+        held = cut(live.join(small(sizes), "key"))
         leads = cut(held.groupBy("rank").agg(F.min((F.col("rank") == F.col("head")).cast("int")).alias("leads")).where("leads = 1").select(F.col("rank.node").alias("a")))
-        pairs = held.where("rank <> head").select(F.col("head.node").alias("a"), F.col("rank.node").alias("b")).distinct().join(leads, "a")
+        pairs = held.where("rank <> head").select(F.col("head.node").alias("a"), F.col("rank.node").alias("b")).distinct().join(small(leads), "a")
         out = cut(_copies(cut(pairs), texts, width, least).select(F.col("b").alias("node")).distinct())
         gone.append(out)
-        settled = cut(out.union(leads.select(F.col("a").alias("node"))))
+        settled = small(cut(out.union(leads.select(F.col("a").alias("node")))))
         live = cut(held.select("key", "rank").join(settled, F.col("rank.node") == settled.node, "left_anti"))
+        sizes = cut(rank_first(live))
     left, right = live.select("key", F.col("rank").alias("x")), live.select("key", F.col("rank").alias("y"))
-    pairs = cut(left.join(right, "key").where("x < y").select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
+    pairs = cut(left.join(small(right), "key").where("x < y").select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
     gone.append(_beaten(cut(_copies(pairs, texts, width, least))))
     beaten = gone[0]
     for g in gone[1:]:
         beaten = beaten.union(g)
-    stay = firsts.join(beaten.distinct(), "node", "left_anti").select(F.col("first._id").alias("_own"), F.col("node").alias("_node"))
+    stay = firsts.join(small(beaten.distinct()), "node", "left_anti").select(F.col("first._id").alias("_own"), F.col("node").alias("_node"))
     stay = cut(stay.join(times, stay["_own"].eqNullSafe(times["_id"]) & (stay["_node"] == times["node"])).select("_own", "_node", "times"))
     rows = named.drop("text").join(stay, named["_id"].eqNullSafe(stay["_own"]) & (named["node"] == stay["_node"])).select("_row", "_id", "node", "times")
     once = rows.where("times > 1").groupBy("_id", "node").agg(F.first("_row").alias("_row")).select("_row")
