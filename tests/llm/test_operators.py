@@ -194,9 +194,10 @@ def test_keep_one_finds_copies_beyond_the_bit_budget(spark):
     assert sorted(x["doc_id"] for x in kept.collect() if x["doc_id"] is not None) == list(range(0, 60, 2))
 
 
-@pytest.mark.parametrize("crowd", [64, 1])
-def test_keep_one_leaves_no_two_copies(spark, monkeypatch, crowd):
+@pytest.mark.parametrize(("crowd", "pivots"), [(64, 8), (3, 2)])
+def test_keep_one_leaves_no_two_copies(spark, monkeypatch, crowd, pivots):
     monkeypatch.setattr(simhash, "CROWD", crowd)
+    monkeypatch.setattr(simhash, "PIVOTS", pivots)
     r = random.Random(12)
     words = [str(r.randrange(5000)) for _ in range(300)]
     texts = [edits(words, set(range(0, 8 * k, 8)), "x") for k in range(30) for _ in range(2)]  # a chain that drifts, each twice

@@ -28,14 +28,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidelog.llm.common import connected_components, cut, packed, quoted, sieved
 
 BITS, SEED, SHINGLE, BUDGET = 64, 42, 3, 2
 #: Fingerprints that one trie walk holds; a larger cell is split by its next STEP bits.
 CELL, STEP = 1024, 8
-#: ``keep_one``: keys of a text and least hashes in each; texts under a key that are paired; pairs that one copy of a head serves.
-BANDS, BAND_ROWS, CROWD, HEAD = 32, 6, 64, 64
+#: ``keep_one``: keys of a text and least hashes in each; texts under a key that are all paired, else how many of them are with all; pairs that one copy of a head serves.
+BANDS, BAND_ROWS, CROWD, PIVOTS, HEAD = 32, 6, 64, 8, 64
 _FLUSH = 200_000
 
 
@@ -312,27 +313,31 @@ def _copies(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> Dat
     return dealt.join(small(heads), ["a", "part"]).select("a", "b", "s", "t").mapInArrow(alike, "a bigint, b bigint")
 
 
-def _beaten(edges: DataFrame) -> DataFrame:
-    """(node): what goes if, by rank, a node stays unless an earlier one that stays has an edge (a, b) to it."""
+def _beaten(edges: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node) of what goes if, by rank, a node stays unless an earlier one that stays has an edge (a, b) to it; and the edges left open.
+
+    Of nodes that are not ``known`` earlier edges may be missing, so nothing follows from their having none.
+    """
     gone = edges.select(F.col("b").alias("node")).limit(0)
-    while edges.limit(1).count():
-        firsts = edges.select("a").distinct().join(small(edges.select(F.col("b").alias("a")).distinct()), "a", "left_anti")
+    while True:
+        firsts = edges.select(F.col("a").alias("node")).distinct().join(small(known), "node", "left_semi")
+        firsts = firsts.join(small(edges.select(F.col("b").alias("node")).distinct()), "node", "left_anti").select(F.col("node").alias("a"))
         now = cut(edges.join(small(firsts), "a", "left_semi").select(F.col("b").alias("node")).distinct())
-        gone = gone.union(now)
-        out = small(now)
+        if not now.limit(1).count():
+            return gone, edges
+        gone, out = gone.union(now), small(now)
         edges = cut(edges.join(out, edges.a == out.node, "left_anti").join(out, F.col("b") == out.node, "left_anti"))
-    return gone
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, least: float = 0.8) -> DataFrame:
     """The rows of ``docs`` without those whose text is a copy of one that stays and comes first by id.
 
     A copy's shingles have a Jaccard similarity of ``least`` or more with the other's. Texts that share one of
-    BANDS keys, each of BAND_ROWS least hashes, are candidates: at 0.8 all but 6 in 100,000 pairs. While a key
-    has more than CROWD texts, all are held against its first one, which stays once it is the first of all its
-    keys; then all pairs that are left. So no two candidates that both stay are copies, and what goes is a copy
-    of a text that stays. Null ids come last; null is the empty text; of rows that repeat an id and a text one
-    stays; a text goes or stays whatever other texts have its id.
+    BANDS keys, each of BAND_ROWS least hashes, are candidates: at 0.8 all but 6 in 100,000 pairs. All texts of
+    a key are held against each other, or if it has more than CROWD against its first PIVOTS ones; what that
+    settles leaves its keys, and the rest goes on until all is settled. So no two candidates that both stay are
+    copies, and what goes is a copy of a text that stays. Null ids come last; null is the empty text; of rows
+    that repeat an id and a text one stays; a text goes or stays whatever other texts have its id.
     """
     body = F.coalesce(F.col(quoted(text_col)).cast("binary"), F.lit(b""))
     named = docs.select(packed(docs).alias("_row"), F.col(quoted(id_col)).alias("_id"), body.alias("text")).withColumn("node", F.xxhash64("text"))
@@ -341,31 +346,35 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     some = named.select("node", "text")
     keys = some.mapInArrow(lambda b: _bands(width, b), "node bigint, keys array<bigint>").select("node", F.explode("keys").alias("key")).distinct()
     live = cut(keys.join(small(firsts), "node").select("key", F.struct("first", "node").alias("rank")))
-    rank_first = lambda d: d.groupBy("key").agg(F.min("rank").alias("head"), F.count("*").alias("n")).where("n > 1")
-    sizes = cut(rank_first(live))
-    live = cut(live.join(small(sizes.select("key")), "key"))
-    near = cut(live.select(F.col("rank.node").alias("node")).distinct())
-    texts = cut(sieved(some, "node", near).join(small(near), "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")))
-    gone = []
+    texts = beaten = None
     while True:
-        if not sizes.where(F.col("n") > CROWD).limit(1).count():
+        sizes = cut(live.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+        live = cut(live.join(small(sizes), "key").select("key", "rank", "n"))
+        if not live.limit(1).count():
             break
-        held = cut(live.join(small(sizes), "key"))
-        leads = cut(held.groupBy("rank").agg(F.min((F.col("rank") == F.col("head")).cast("int")).alias("leads")).where("leads = 1").select(F.col("rank.node").alias("a")))
-        pairs = held.where("rank <> head").select(F.col("head.node").alias("a"), F.col("rank.node").alias("b")).distinct().join(small(leads), "a")
-        out = cut(_copies(cut(pairs), texts, width, least).select(F.col("b").alias("node")).distinct())
-        gone.append(out)
-        settled = small(cut(out.union(leads.select(F.col("a").alias("node")))))
-        live = cut(held.select("key", "rank").join(settled, F.col("rank.node") == settled.node, "left_anti"))
-        sizes = cut(rank_first(live))
-    left, right = live.select("key", F.col("rank").alias("x")), live.select("key", F.col("rank").alias("y"))
-    pairs = cut(left.join(small(right), "key").where("x < y").select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
-    gone.append(_beaten(cut(_copies(pairs, texts, width, least))))
-    beaten = gone[0]
-    for g in gone[1:]:
-        beaten = beaten.union(g)
+        if texts is None:
+            near = cut(live.select(F.col("rank.node").alias("node")).distinct())
+            texts = cut(sieved(some, "node", near).join(small(near), "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")))
+        place = F.row_number().over(Window.partitionBy("key").orderBy("rank"))
+        heads = live.withColumn("place", place).where(F.col("place") <= CROWD).where((F.col("n") <= CROWD) | (F.col("place") <= PIVOTS))
+        heads = cut(heads.select("key", "rank"))
+        pairs = heads.select("key", F.col("rank").alias("x")).join(small(live.select("key", F.col("rank").alias("y"))), "key").where("x < y")
+        edges = cut(_copies(cut(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()), texts, width, least))
+        both = live.select(F.col("rank.node").alias("node"), F.lit(1).alias("n")).union(heads.select(F.col("rank.node").alias("node"), F.lit(-1).alias("n")))
+        known = cut(both.groupBy("node").agg(F.sum("n").alias("n")).where("n = 0").select("node"))
+        gone, left = _beaten(edges, known)
+        beaten = gone if beaten is None else beaten.union(gone)
+        stays = known.join(small(left.select(F.col("b").alias("node")).distinct()), "node", "left_anti")
+        settled = small(gone.union(stays).distinct())
+        live = live.select("key", "rank").join(settled, F.col("rank.node") == settled.node, "left_anti")
+    beaten = firsts.select("node").limit(0) if beaten is None else beaten
     stay = firsts.join(small(beaten.distinct()), "node", "left_anti").select(F.col("first._id").alias("_own"), F.col("node").alias("_node"))
     stay = cut(stay.join(times, stay["_own"].eqNullSafe(times["_id"]) & (stay["_node"] == times["node"])).select("_own", "_node", "times"))
-    rows = named.drop("text").join(stay, named["_id"].eqNullSafe(stay["_own"]) & (named["node"] == stay["_node"])).select("_row", "_id", "node", "times")
-    once = rows.where("times > 1").groupBy("_id", "node").agg(F.first("_row").alias("_row")).select("_row")
-    return rows.where("times = 1").select("_row").union(once).select("_row.*")
+    rows = named.drop("text")
+
+    def of(stay: DataFrame, rows: DataFrame) -> DataFrame:
+        return rows.join(stay, rows["_id"].eqNullSafe(stay["_own"]) & (rows["node"] == stay["_node"]))
+
+    many = stay.where("times > 1")
+    once = of(many, sieved(rows, "node", many.select(F.col("_node").alias("node")))).groupBy("_id", "node").agg(F.first("_row").alias("_row"))
+    return of(stay.where("times = 1"), rows).select("_row").union(once.select("_row")).select("_row.*")
