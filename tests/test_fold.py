@@ -75,9 +75,10 @@ def test_fold_against_a_dict(spark):
 
 
 def test_order_violations(spark):
-    rows = spark.createDataFrame([(k,) for k in [1, 2, 3, 3, 5]], "key int")
-    assert tuple(fold.order_violations(rows).first()) == (5, 1)
-    assert tuple(fold.order_violations(rows.distinct()).first()) == (4, 0)
+    rows = lambda keys: spark.createDataFrame([(k, i // 5, i) for i, k in enumerate(keys)], "key int, part int, place int")
+    assert tuple(fold.order_violations(rows([1, 2, 3, 3, 5])).first()) == (5, 1)
+    assert tuple(fold.order_violations(rows([5, 1, 4, 2, 3])).first()) == (5, 2)
+    assert tuple(fold.order_violations(rows([1, 2, 3, 4, 5, 1, 2])).first()) == (7, 0)
 
 
 def test_plan_prunes(spark, tmp_path):

@@ -27,6 +27,18 @@ def test_sink_commits_each_batch_once_and_source_reads_it(spark, tmp_path):
         assert sorted(bytes(r["key"]) for r in got.collect()) == sorted(k for k, _ in db.snapshot().iterate())
 
 
+def test_source_shows_committed_records_once(spark, tmp_path):
+    with Store.open(spark, str(tmp_path / "s"), Options(inline_compaction=False)) as db:
+        for k in range(23):  # past a commit that carries the whole state
+            db.put(b"k%d" % (k % 7), b"%d" % k)
+        spark.createDataFrame([(b"stray", 9, 1, b"x")], MUTATION).write.parquet(str(tmp_path / "s/data/000000099999-stray"))
+        db.flush()
+        q = stream.store_source(db).writeStream.format("memory").queryName("source").trigger(availableNow=True).start()
+        q.awaitTermination()
+        assert sorted((bytes(r["key"]), r["seq"]) for r in spark.table("source").collect()) == sorted((b"k%d" % (k % 7), k + 1) for k in range(23))
+        assert db.vacuum() == [] and db.vacuum(older_than_s=0)
+
+
 def test_late_records_change_nothing_wrong(spark, tmp_path):
     rows = [(b"k", 3, 1, b"new"), (b"k", 1, 1, b"old"), (b"j", 2, 0, None), (b"j", 1, 1, b"x")]
     for r in rows:

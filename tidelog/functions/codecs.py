@@ -230,18 +230,17 @@ def varint_length_col(n: Column) -> Column:
 def fnv64_col(v: Column) -> Column:
     """FNV-1a over the eight little-endian bytes of a non-negative number, as an unsigned decimal.
 
-    The xor touches the lowest byte only, and a product stays below 2^104, so DECIMAL(38) holds every step.
+    The hash is kept in two halves of 32 bits. The prime is 2^40 + 435, so products stay below 2^42.
     """
-    whole = lambda x: F.lit(str(x)).cast("decimal(38,0)")
+    number = lambda x: F.lit(x).cast("bigint")
+    small, half = FNV_PRIME - (1 << 40), number((1 << 32) - 1)
     v = v.cast("bigint")
-
-    def step(h: Column, i: Column) -> Column:
-        octet = F.call_function("shiftright", v, (i * 8).cast("int")).bitwiseAND(F.lit(255))
-        low = (h % whole(256)).cast("bigint")
-        h = h - low.cast("decimal(38,0)") + low.bitwiseXOR(octet).cast("decimal(38,0)")
-        return (h.cast("decimal(20,0)") * F.lit(str(FNV_PRIME)).cast("decimal(16,0)") % F.lit(str(1 << 64)).cast("decimal(20,0)")).cast("decimal(38,0)")
-
-    return F.aggregate(F.sequence(F.lit(0), F.lit(7)), whole(FNV_BASIS), step).cast("decimal(20,0)")
+    hi, lo = number(FNV_BASIS >> 32), number(FNV_BASIS & 0xFFFFFFFF)
+    for i in range(8):
+        lo = lo.bitwiseXOR(F.shiftright(v, 8 * i).bitwiseAND(number(255)))
+        part = lo * small
+        hi, lo = (hi * small + F.shiftright(part, 32) + F.shiftleft(lo, 8)).bitwiseAND(half), part.bitwiseAND(half)
+    return (hi.cast("decimal(10,0)") * F.lit(str(1 << 32)).cast("decimal(10,0)") + lo.cast("decimal(10,0)")).cast("decimal(20,0)")
 
 
 def ycsb_key(i: Column) -> Column:

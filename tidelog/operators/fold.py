@@ -101,8 +101,12 @@ def internal_order(log: DataFrame) -> DataFrame:
     return log.orderBy("key", F.col("seq").desc())
 
 
-def order_violations(rows: DataFrame, key: str = "key", partitions: int = 8) -> DataFrame:
-    """One row: keys that do not rise strictly along a range-partitioned scan (equal keys fall into one partition)."""
-    placed = rows.repartitionByRange(partitions, key).withColumn("_part", F.spark_partition_id())
-    before = F.lag(key).over(Window.partitionBy("_part").orderBy(key))
-    return placed.select((F.col(key) <= before).alias("bad")).agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.col("bad").cast("bigint")), F.lit(0)).alias("violations"))
+def order_violations(rows: DataFrame, key: str = "key", part: str = "part", place: str = "place") -> DataFrame:
+    """One row: how many rows, and how many keys that do not rise strictly as the rows stand, by ``place`` in each ``part``."""
+    before = F.lag(key).over(Window.partitionBy(part).orderBy(place))
+    return rows.select((F.col(key) <= before).alias("bad")).agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.col("bad").cast("bigint")), F.lit(0)).alias("violations"))
+
+
+def stored(rows: DataFrame) -> DataFrame:
+    """Rows read from files, with the file as ``part`` and the row's number in it as ``place``."""
+    return rows.withColumns({"part": F.col("_metadata.file_path"), "place": F.col("_metadata.row_index")})

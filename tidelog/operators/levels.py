@@ -116,6 +116,12 @@ def replay(edits: DataFrame) -> DataFrame:
     return edits.withColumn("_rank", F.row_number().over(last)).where("_rank = 1 and action = 'add'").drop("_rank", "action")
 
 
+def named(edits: DataFrame, keep: int) -> DataFrame:
+    """(number): files that any of the last ``keep`` versions of ``edits`` names: those in the first of them, and those added since."""
+    first = (edits.agg(F.max("version")).first()[0] or 0) - (keep - 1)
+    return replay(edits.where(F.col("version") <= first)).select("number").union(edits.where((F.col("version") > first) & (F.col("action") == "add")).select("number")).distinct()
+
+
 def obsolete(listing: DataFrame, live: DataFrame, pending: DataFrame) -> DataFrame:
     """Files found that neither a live version nor a pending output names."""
     return listing.join(live.select("number").union(pending.select("number")), "number", "left_anti")

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidelog.functions import codecs, exposition, histogram
-from tidelog.model import WriteBatch
 from tidelog.operators import fold, levels
 from tidelog.plans import inputs, workload
 from tidelog.plans.inputs import DEEP, FOLD, M, RUNS, SIZE, V, edge_sql, hist_sql
@@ -147,10 +146,15 @@ def batch_sequences(spark: SparkSession, d: str) -> DataFrame:
     return ords.join(bases, "user_id").groupBy("user_id").agg(F.count("*").alias("records"), F.min(seq).alias("first_seq"), F.max(seq).alias("last_seq"), F.sum(seq * F.col("ord")).alias("mix"))
 
 
-@query("SELECT * FROM (VALUES ('y', '2')) t(key, value)")
+@query("""WITH b AS (SELECT ord, CASE WHEN del THEN o_custkey // 2 * 2 ELSE o_custkey END AS k, CASE WHEN del THEN NULL ELSE o_orderstatus END AS v FROM
+ (SELECT 2 * o_orderkey AS ord, o_custkey, o_orderstatus, false AS del FROM orders UNION ALL SELECT 2 * o_orderkey + 1, o_custkey, NULL, true FROM orders WHERE o_orderkey % 3 = 0))
+SELECT 'cust' || lpad(CAST(k AS VARCHAR), 10, '0') AS key, v AS value FROM (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY k ORDER BY ord DESC) = 1) WHERE v IS NOT NULL""")
 def batch_last_wins(spark: SparkSession, d: str) -> DataFrame:
-    batch = WriteBatch().put(b"x", b"1").put(b"y", b"2").delete(b"x").to_df(spark)
-    return text(fold.live(batch.withColumnRenamed("ord", "seq")))
+    """One batch of a put for each order, and after every third a delete of a neighbouring customer: later records win."""
+    o, key = inputs.table(spark, d, "orders"), lambda k: F.concat(F.lit("cust"), F.lpad(k.cast("string"), 10, "0")).cast("binary")
+    puts = o.select((2 * F.col("o_orderkey")).alias("seq"), F.lit(1).cast("tinyint").alias("op"), key(F.col("o_custkey")).alias("key"), F.col("o_orderstatus").cast("binary").alias("value"))
+    gone = o.where("o_orderkey % 3 = 0").select((2 * F.col("o_orderkey") + 1).alias("seq"), F.lit(0).cast("tinyint").alias("op"), key(F.floor(F.col("o_custkey") / 2) * 2).alias("key"), F.lit(None).cast("binary").alias("value"))
+    return text(fold.live(puts.union(gone)))
 
 
 @query("SELECT count(*) AS groups, CAST(sum(n) AS BIGINT) AS writers, round(sum(n) / count(*), 6) AS mean_size FROM (SELECT event_id // 8 AS g, count(*) AS n FROM events GROUP BY 1)")
@@ -290,11 +294,12 @@ def missing_files(spark: SparkSession, d: str) -> DataFrame:
     return levels.missing(levels.replay(_edits(spark, d)), listing).select("level", "number")
 
 
-@query("SELECT DISTINCT number FROM (SELECT event_id // 1000 AS number FROM events WHERE event_id < 4000 UNION ALL SELECT event_id // 1000 FROM events WHERE event_id BETWEEN 2000 AND 5999)")
+@query(f"""WITH {_EDITS}, upto AS (SELECT e.*, v.v FROM edits e JOIN (SELECT DISTINCT version AS v FROM edits) v ON e.version <= v.v),
+held AS (SELECT v, level, number FROM upto QUALIFY row_number() OVER (PARTITION BY v, level, number ORDER BY version DESC, action) = 1 AND action = 'add')
+SELECT DISTINCT number FROM held WHERE v >= (SELECT max(version) - 4 FROM edits)""")
 def live_versions(spark: SparkSession, d: str) -> DataFrame:
-    """Files that any retained version names."""
-    f = inputs.run_files(spark, d).select("number")
-    return f.where("number < 4").union(f.where("number between 2 and 5")).distinct()
+    """Files that any of the last versions names."""
+    return levels.named(_edits(spark, d), keep=5)
 
 
 # -- counters, histograms, windows -----------------------------------------------
@@ -404,9 +409,34 @@ def rate_per_day(spark: SparkSession, d: str) -> DataFrame:
     return inputs.table(spark, d, "events").groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("day"), "event_type", "n")
 
 
-@query("SELECT count(*) AS rows, CAST(0 AS BIGINT) AS violations FROM orders")
+@query("""WITH k AS (SELECT o_orderkey, o_orderkey // 1000 AS part, 'key' || lpad(CAST(CASE WHEN o_orderkey % 97 = 5 THEN o_orderkey - 1 WHEN o_orderkey % 89 = 7 THEN o_orderkey + 3 ELSE o_orderkey END AS VARCHAR), 10, '0') AS key FROM orders),
+b AS (SELECT key, lag(key) OVER (PARTITION BY part ORDER BY o_orderkey) AS before FROM k) SELECT count(*) AS rows, count(*) FILTER (key <= before) AS violations FROM b""")
 def scan_sorted_check(spark: SparkSession, d: str) -> DataFrame:
-    return fold.order_violations(inputs.base(spark, d).select("key"))
+    """Runs of a thousand orders in which every 97th key repeats the one before and every 89th jumps ahead."""
+    n = F.col("o_orderkey")
+    key = codecs.ordered_key(F.when(n % 97 == 5, n - 1).when(n % 89 == 7, n + 3).otherwise(n))
+    return fold.order_violations(inputs.table(spark, d, "orders").select(F.floor(n / 1000).alias("part"), n.alias("place"), key.alias("key")))
+
+
+@query(f"WITH {M} SELECT count(*) AS rows, CAST(0 AS BIGINT) AS violations FROM (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1)")
+def store_order(spark: SparkSession, d: str) -> DataFrame:
+    """The order of the records in the files of a flushed store, as they stand there."""
+    with _stored(spark, d) as store:
+        store.flush()
+        return fold.order_violations(fold.stored(store.snapshot().mutations()))
+
+
+@query(f"WITH {M} SELECT key, seq, op, value FROM m")
+def store_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The committed records of a store as a stream, each once, though they were rewritten and a run without a commit lies beside them."""
+    with _stored(spark, d) as store:
+        stray = spark.createDataFrame([(b"stray", 1, 1, b"never committed")], "key binary, seq bigint, op tinyint, value binary")
+        stray.write.parquet(store.files.uri("data/999999999999-stray"))
+        store.flush()
+        out = scratch(spark, "streamed")
+        source = stream.store_source(store)
+        source.writeStream.trigger(availableNow=True).option("checkpointLocation", scratch(spark, "offsets")).format("parquet").start(out).awaitTermination()
+    return text(spark.read.schema(source.schema).parquet(out).withColumn("op", F.col("op").cast("int")))
 
 
 # -- workload and verification ---------------------------------------------------
@@ -507,7 +537,7 @@ def ycsb_operations(spark: SparkSession, d: str) -> DataFrame:
 def _stored(spark: SparkSession, d: str, **options: int) -> Store:
     """events committed in four batches."""
     store = Store.open(spark, scratch(spark, "store"), Options(inline_compaction=False, **options))
-    quarter = inputs.table(spark, d, "events").agg(F.max("event_id")).first()[0] // 4 + 1
+    quarter = (inputs.table(spark, d, "events").agg(F.max("event_id")).first()[0] or 0) // 4 + 1
     m = log(spark, d)
     for k in range(4):
         part = m.where((F.col("event_id") >= k * quarter) & (F.col("event_id") < (k + 1) * quarter))
@@ -545,7 +575,7 @@ def run_summary(spark: SparkSession, d: str) -> DataFrame:
         return store.describe_runs().agg(F.sum("entries").alias("entries"), F.sum("puts").alias("puts"), F.sum("tombstones").alias("tombstones"), F.min("first_seq").alias("first_seq"), F.max("last_seq").alias("last_seq"))
 
 
-@query("SELECT count(*) AS records, CAST(5 AS BIGINT) AS commits FROM events")
+@query("SELECT count(*) AS records, 1 + count(DISTINCT event_id // ((SELECT max(event_id) FROM events) // 4 + 1)) AS commits FROM events")
 def log_summary(spark: SparkSession, d: str) -> DataFrame:
     with _stored(spark, d) as store:
         return store.describe_log().agg(F.sum("records").alias("records"), F.count("*").alias("commits"))

@@ -77,6 +77,24 @@ class Files:
                 return {e.name: e.stat().st_size for e in found}
         return {s.getPath().getName(): s.getLen() for s in self._fs.listStatus(self._path(self.uri(name)))}
 
+    def modified(self, name: str) -> float:
+        """When a folder or a file in it last changed, in seconds."""
+        if self.local is not None:
+            top = f"{self.local}/{name}"
+            return max([os.stat(top).st_mtime, *(e.stat().st_mtime for e in os.scandir(top))])
+        at = self._path(self.uri(name))
+        return max([self._fs.getFileStatus(at).getModificationTime(), *(s.getModificationTime() for s in self._fs.listStatus(at))]) / 1000
+
+    def sync(self, name: str) -> None:
+        """Puts the files of a folder, and their names, on the disk; other stores do so when a file is closed."""
+        if self.local is None:
+            return
+        top = f"{self.local}/{name}"
+        for path in [*(e.path for e in os.scandir(top) if e.is_file()), top, os.path.dirname(top)]:
+            at = os.open(path, os.O_RDONLY)
+            os.fsync(at)
+            os.close(at)
+
     def read(self, name: str) -> bytes:
         if self.local is not None:
             with open(f"{self.local}/{name}", "rb") as f:

@@ -7,11 +7,16 @@ and those are hidden above it. Windowed rates over event time do use one.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from tidelog.model import PUT
+from tidelog.model import MUTATION, PUT
 from tidelog.operators.fold import fold_by_aggregate
 from tidelog.store import Store
 
@@ -50,8 +55,26 @@ def store_sink(batches: DataFrame, store: Store, app: str, checkpoint: str, max_
     return batches.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
-def store_source(store: Store, max_files: int = 100) -> DataFrame:
-    """Committed records as a stream: new data files, ``max_files`` a trigger. Rewritten runs repeat records; a fold does not mind."""
-    from tidelog.model import MUTATION
+def _records(uri: str):  # noqa: ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                files, at = fs.FileSystem.from_uri(f"{uri}/{path}")
+                with files.open_input_file(at) as source:
+                    for rows in pq.ParquetFile(source).iter_batches(columns=["key", "seq", "op", "value"]):
+                        yield rows
+
+    return run
+
 
-    return store.spark.readStream.schema(MUTATION).option("maxFilesPerTrigger", max_files).option("recursiveFileLookup", "true").parquet(store.files.uri("data"))
+def store_source(store: Store, max_commits: int = 100) -> DataFrame:
+    """Committed records as a stream, each once: what users' commits added, ``max_commits`` of them a trigger.
+
+    The commit log is the source, so a run that no commit names never shows, and runs that flushes and compactions
+    rewrote are not read again. A run that was vacuumed before it was read fails the stream.
+    """
+    kind = "version bigint, add array<struct<path string, level int, flushed boolean>>"
+    log = store.spark.readStream.option("wholetext", "true").option("maxFilesPerTrigger", max_commits).text(store.files.uri("_log/*.json"))
+    outer = log.select(F.from_json("value", "crc32 bigint, edit string").alias("c")).where(F.crc32(F.col("c.edit").cast("binary")) == F.col("c.crc32"))
+    runs = outer.select(F.explode(F.from_json("c.edit", kind)["add"]).alias("run")).where("run.level = 0 and not run.flushed")
+    return runs.select("run.path").mapInArrow(_records(store.files.uri()), MUTATION)
