@@ -329,6 +329,20 @@ def _beaten(edges: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
         edges = cut(edges.join(out, edges.a == out.node, "left_anti").join(out, F.col("b") == out.node, "left_anti"))
 
 
+def _pairs(live: DataFrame, heads: DataFrame, known: DataFrame) -> DataFrame:
+    """(a, b): each text with the earlier heads of its keys, if one of the two is ``known``; nothing follows from others.
+
+    Heads meet a key's texts as one list of at most CROWD, and a text's lists are one before they are spread.
+    """
+    mark = small(known.withColumn("known", F.lit(True)))
+    flagged = lambda d: d.join(mark, d["rank.node"] == mark["node"], "left").drop("node")
+    lists = flagged(heads).groupBy("key").agg(F.collect_list(F.struct("rank", "known")).alias("heads"))
+    mine = flagged(live.select("key", "rank")).join(small(lists), "key")
+    first = F.filter("heads", lambda x: (x["rank"] < F.col("rank")) & (F.col("known").isNotNull() | x["known"].isNotNull()))
+    found = mine.select(F.col("rank.node").alias("b"), F.transform(first, lambda x: x["rank"]["node"]).alias("as")).where(F.size("as") > 0)
+    return found.groupBy("b").agg(F.array_distinct(F.flatten(F.collect_list("as"))).alias("as")).select(F.explode("as").alias("a"), "b")
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, least: float = 0.8) -> DataFrame:
     """The rows of ``docs`` without those whose text is a copy of one that stays and comes first by id.
 
@@ -358,10 +372,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
         place = F.row_number().over(Window.partitionBy("key").orderBy("rank"))
         heads = live.withColumn("place", place).where(F.col("place") <= CROWD).where((F.col("n") <= CROWD) | (F.col("place") <= PIVOTS))
         heads = cut(heads.select("key", "rank"))
-        pairs = heads.select("key", F.col("rank").alias("x")).join(small(live.select("key", F.col("rank").alias("y"))), "key").where("x < y")
-        edges = cut(_copies(cut(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()), texts, width, least))
         both = live.select(F.col("rank.node").alias("node"), F.lit(1).alias("n")).union(heads.select(F.col("rank.node").alias("node"), F.lit(-1).alias("n")))
         known = cut(both.groupBy("node").agg(F.sum("n").alias("n")).where("n = 0").select("node"))
+        edges = cut(_copies(cut(_pairs(live, heads, known)), texts, width, least))
         gone, left = _beaten(edges, known)
         beaten = gone if beaten is None else beaten.union(gone)
         stays = known.join(small(left.select(F.col("b").alias("node")).distinct()), "node", "left_anti")
