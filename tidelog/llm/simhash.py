@@ -35,8 +35,8 @@ from tidelog.llm.common import connected_components, cut, packed, quoted, sieved
 BITS, SEED, SHINGLE, BUDGET = 64, 42, 3, 2
 #: Fingerprints that one trie walk holds; a larger cell is split by its next STEP bits.
 CELL, STEP = 1024, 8
-#: ``keep_one``: keys of a text and least hashes in each; texts under a key that are all paired, else how many of them are with all; pairs that one copy of a head serves.
-BANDS, BAND_ROWS, CROWD, PIVOTS, HEAD = 32, 6, 64, 8, 64
+#: ``keep_one``: keys of a text and least hashes in each; texts under a key that are all paired, else how many of them are with all at first, and at most; pairs that one copy of a head serves.
+BANDS, BAND_ROWS, CROWD, PIVOTS, MOST_PIVOTS, HEAD = 32, 6, 64, 8, 512, 64
 _FLUSH = 200_000
 
 
@@ -332,7 +332,7 @@ def _beaten(edges: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _pairs(live: DataFrame, heads: DataFrame, known: DataFrame) -> DataFrame:
     """(a, b): each text with the earlier heads of its keys, if one of the two is ``known``; nothing follows from others.
 
-    Heads meet a key's texts as one list of at most CROWD, and a text's lists are one before they are spread.
+    Heads meet a key's texts as one list of at most MOST_PIVOTS, and a text's lists are one before they are spread.
     """
     mark = small(known.withColumn("known", F.lit(True)))
     flagged = lambda d: d.join(mark, d["rank.node"] == mark["node"], "left").drop("node")
@@ -349,7 +349,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     A copy's shingles have a Jaccard similarity of ``least`` or more with the other's. Texts that share one of
     BANDS keys, each of BAND_ROWS least hashes, are candidates: at 0.8 all but 6 in 100,000 pairs. All texts of
     a key are held against each other, or if it has more than CROWD against its first PIVOTS ones; what that
-    settles leaves its keys, and the rest goes on until all is settled. So no two candidates that both stay are
+    settles leaves its keys, and the rest goes on until all is settled, with as many more pivots as fewer rows
+    are left, so that a round has at most PIVOTS pairs for each row of the first. So no two candidates that both stay are
     copies, and what goes is a copy of a text that stays. Null ids come last; null is the empty text; of rows
     that repeat an id and a text one stays; a text goes or stays whatever other texts have its id.
     """
@@ -360,17 +361,21 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     some = named.select("node", "text")
     keys = some.mapInArrow(lambda b: _bands(width, b), "node bigint, keys array<bigint>").select("node", F.explode("keys").alias("key")).distinct()
     live = cut(keys.join(small(firsts), "node").select("key", F.struct("first", "node").alias("rank")))
-    texts = beaten = None
+    texts = beaten = whole = None
     while True:
         sizes = cut(live.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
         live = cut(live.join(small(sizes), "key").select("key", "rank", "n"))
-        if not live.limit(1).count():
+        rows = live.count()
+        if not rows:
             break
+        whole = whole or rows
+        pivots = min(MOST_PIVOTS, PIVOTS * whole // rows)
+        crowd = max(CROWD, pivots)
         if texts is None:
             near = cut(live.select(F.col("rank.node").alias("node")).distinct())
             texts = cut(sieved(some, "node", near).join(small(near), "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")))
         place = F.row_number().over(Window.partitionBy("key").orderBy("rank"))
-        heads = live.withColumn("place", place).where(F.col("place") <= CROWD).where((F.col("n") <= CROWD) | (F.col("place") <= PIVOTS))
+        heads = live.withColumn("place", place).where(F.col("place") <= crowd).where((F.col("n") <= crowd) | (F.col("place") <= pivots))
         heads = cut(heads.select("key", "rank"))
         both = live.select(F.col("rank.node").alias("node"), F.lit(1).alias("n")).union(heads.select(F.col("rank.node").alias("node"), F.lit(-1).alias("n")))
         known = cut(both.groupBy("node").agg(F.sum("n").alias("n")).where("n = 0").select("node"))
