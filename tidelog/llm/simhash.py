@@ -35,8 +35,8 @@ from tidelog.llm.common import connected_components, cut, packed, quoted, sieved
 BITS, SEED, SHINGLE, BUDGET = 64, 42, 3, 2
 #: Fingerprints that one trie walk holds; a larger cell is split by its next STEP bits.
 CELL, STEP = 1024, 8
-#: ``keep_one``: keys of a text and least hashes in each; texts under a key that are all paired, else how many of them are with all at first, and at most; pairs that one copy of a head serves.
-BANDS, BAND_ROWS, CROWD, PIVOTS, MOST_PIVOTS, HEAD = 32, 6, 64, 8, 512, 64
+#: ``keep_one``: keys of a text and least hashes in each; texts under a key that are all paired, else how many of them are with all at first, and at most; heads of a block, and texts that one copy of it serves.
+BANDS, BAND_ROWS, CROWD, PIVOTS, MOST_PIVOTS, BLOCK, HEAD = 32, 6, 64, 8, 512, 16, 128
 _FLUSH = 200_000
 
 
@@ -291,26 +291,42 @@ def _bands(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 
 
 def _copies(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
-    """The (a, b) of ``pairs`` whose texts have a Jaccard similarity of ``least`` or more."""
+    """The (a, b) of ``pairs`` whose texts have a Jaccard similarity of ``least`` or more.
+
+    Heads that texts have in common form blocks of about BLOCK; a text is sent once to each block that it has
+    pairs in, and a block's heads once for each HEAD of its texts.
+    """
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, head = None, set()
+        at, heads = None, {}
         for batch in batches:
-            same = []
-            for a, s, t in zip(batch.column(0), batch.column(2), batch.column(3), strict=True):
-                if a.as_py() != last:
-                    last, head = a.as_py(), set(shingle_hashes(s.as_py(), width))
-                other = set(shingle_hashes(t.as_py(), width))
-                both = len(head & other)
-                same.append(both >= least * (len(head) + len(other) - both))
-            yield batch.select([0, 1]).filter(pa.array(same, pa.bool_()))
-
-    # A head's text is sent once for each HEAD of its pairs, so that no task holds all of them.
-    many = cut(pairs.groupBy("a").agg(F.ceil(F.count("*") / HEAD).cast("int").alias("parts")))
-    heads = many.join(small(texts), many.a == texts.node).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("text").alias("s"))
-    dealt = cut(pairs.join(small(many), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part")))
-    dealt = dealt.join(small(texts.select(F.col("node").alias("b"), F.col("text").alias("t"))), "b")
-    return dealt.join(small(heads), ["a", "part"]).select("a", "b", "s", "t").mapInArrow(alike, "a bigint, b bigint")
+            left, right = [], []
+            for lead, chunk, part, node, of, text in zip(*batch.columns, strict=True):
+                if (here := (lead.as_py(), chunk.as_py(), part.as_py())) != at:
+                    at, heads = here, {}
+                mine = np.unique(np.array(shingle_hashes(text.as_py(), width), np.uint64))
+                if not of.is_valid:
+                    heads[node.as_py()] = mine
+                    continue
+                for a in of.as_py():
+                    both = len(np.intersect1d(heads[a], mine, assume_unique=True))
+                    if both >= least * (len(heads[a]) + len(mine) - both):
+                        left.append(a)
+                        right.append(node.as_py())
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+
+    firsts = pairs.groupBy("b").agg(F.min("a").alias("lead"))
+    led = cut(pairs.join(small(firsts), "b").groupBy("a").agg(F.min("lead").alias("lead")))
+    sizes = led.groupBy("lead").agg(F.ceil(F.count("*") / BLOCK).alias("chunks"))
+    blocks = cut(led.join(small(sizes), "lead").select("a", "lead", F.pmod(F.xxhash64("a"), F.col("chunks")).alias("chunk")))
+    mine = cut(pairs.join(small(blocks), "a").groupBy("lead", "chunk", "b").agg(F.collect_list("a").alias("of")))
+    parts = cut(mine.groupBy("lead", "chunk").agg(F.ceil(F.count("*") / HEAD).alias("parts")))
+    dealt = mine.join(small(parts), ["lead", "chunk"]).select("lead", "chunk", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), F.col("b").alias("node"), "of")
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part")
+    heads = blocks.join(small(parts), ["lead", "chunk"]).select("lead", "chunk", every, F.col("a").alias("node"), F.lit(None).cast("array<bigint>").alias("of"))
+    rows = dealt.union(heads).join(small(texts), "node").select("lead", "chunk", "part", "node", "of", "text")
+    place = ["lead", "chunk", "part"]
+    return rows.repartition(*place).sortWithinPartitions(*place, F.col("of").isNotNull()).mapInArrow(alike, "a bigint, b bigint")
 
 
 def _beaten(edges: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
