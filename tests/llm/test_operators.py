@@ -210,6 +210,46 @@ def test_keep_one_leaves_no_two_copies(spark, monkeypatch, crowd, pivots):
     assert sorted(x["doc_id"] for x in kept.collect() if x["doc_id"] is not None) == want
 
 
+def test_keep_one_takes_candidates_from_simhash(spark, monkeypatch):
+    """Pairs at 0.8 share a key of their fingerprints, in small cells and in cells too large to be walked; unrelated texts share none."""
+    r = random.Random(13)
+    texts = []
+    for _ in range(100):
+        words = [str(r.randrange(5000)) for _ in range(300)]
+        texts += [" ".join(words), edits(words, set(range(10, 290, 48)), "x")]
+    pairs = [shingle_jaccard(a, b) for a, b in zip(texts[::2], texts[1::2], strict=True)]
+    assert all(0.8 <= x < 0.82 for x in pairs)
+    docs = spark.createDataFrame([(i, t.encode()) for i, t in enumerate(texts)], "node bigint, text binary")
+    for cell in (1024, 1):
+        monkeypatch.setattr(simhash, "CELL", cell)
+        keys, prints = simhash.near_keys(docs, len(texts), 5, 0.8)
+        held = {}
+        for x in keys.collect():
+            held.setdefault(x["node"], set()).add(x["key"])
+        assert all(held[k] & held[k + 1] for k in range(0, 200, 2))
+        if cell > 1:
+            assert not any(held[a] & held[b] for a in held for b in held if a // 2 < b // 2)
+    differ = {x["node"]: np.array(x["prints"], np.int64).view(np.uint64) for x in prints.collect()}
+    assert all(np.bitwise_count(differ[k] ^ differ[k + 1]).sum() <= simhash.plan(200, 0.8)[-1] for k in range(0, 200, 2))
+
+
+@pytest.mark.parametrize(("whole", "cell"), [(4096, 1024), (0, 1024), (0, 8), (4096, 8)])
+def test_keep_one_in_tasks_and_in_rounds(spark, monkeypatch, whole, cell):
+    """A group whose texts are mostly not copies of each other, settled by one task or in rounds."""
+    monkeypatch.setattr(simhash, "WHOLE", whole)
+    monkeypatch.setattr(simhash, "CELL", cell)
+    monkeypatch.setattr(simhash, "CROWD", 8)
+    r = random.Random(14)
+    words = [str(r.randrange(5000)) for _ in range(200)]
+    texts, want = [edits(words, set(r.sample(range(200), r.randint(0, 7))), f"x{k % 3}") for k in range(120)], []
+    for i, t in enumerate(texts):
+        if all(shingle_jaccard(t, texts[k]) < 0.8 for k in want):
+            want.append(i)
+    assert 20 < len(want) < 100
+    kept = simhash.keep_one(frame(spark, texts), width=5)
+    assert sorted(x["doc_id"] for x in kept.collect() if x["doc_id"] is not None) == want
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (5, 4), (9, 9), (None, 3)] + [(k, k + 1) for k in range(100, 160)] + [(1000, k) for k in range(1001, 1100)]
     got = {r["node"]: r["root"] for r in common.connected_components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}

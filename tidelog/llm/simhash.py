@@ -9,8 +9,10 @@ A block with more fingerprints than ``CELL`` is dealt out first: its node pairs
 eight bits further down become cells of their own, level by level, until they
 are small, so no task holds an unbounded group. Every cell reports a spanning
 forest of its links, not the pairs, and ``components`` contracts those.
-``keep_one`` looks for copies by the Jaccard similarity of shingles, which a
-small budget of differing bits does not follow, and so by bands of least hashes.
+``keep_one`` looks for copies by the Jaccard similarity of shingles. Its
+candidates are texts whose fingerprints are few bits apart: at 0.8 some 10 of 64
+bits differ, so it takes a larger budget, and as no block of one fingerprint
+then has to agree, blocks of several fingerprints (``plan``).
 
 Defined results: null and empty texts have fingerprint zero and are linked like
 any other; equal texts and repeated rows share a fingerprint; a null id gets a
@@ -20,6 +22,7 @@ no rows. Only the id and text columns are read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -35,8 +38,12 @@ from tidelog.llm.common import connected_components, cut, packed, quoted, sieved
 BITS, SEED, SHINGLE, BUDGET = 64, 42, 3, 2
 #: Fingerprints that one trie walk holds; a larger cell is split by its next STEP bits.
 CELL, STEP = 1024, 8
-#: ``keep_one``: keys of a text and least hashes in each; texts under a key that are all paired, else how many of them are with all at first, and at most; heads of a block, and texts that one copy of it serves.
-BANDS, BAND_ROWS, CROWD, PIVOTS, MOST_PIVOTS, BLOCK, HEAD = 32, 6, 64, 8, 512, 16, 128
+#: ``keep_one``: share of the pairs at the least similarity that agree in no block; texts in a block's cell, on average, and least bits of a block.
+MISS, OCCUPANCY, LEAST_BITS = 1e-4, 64, 8
+#: ``keep_one``: texts, and bytes of them, of a component that one task settles; larger ones are settled in rounds.
+WHOLE, WHOLE_BYTES = 4096, 1 << 25
+#: ``keep_one``: texts under a key that are all paired, else how many of them are with all at first, and at most; heads of a block, and texts that one copy of it serves.
+CROWD, PIVOTS, MOST_PIVOTS, BLOCK, HEAD = 64, 8, 512, 16, 128
 _FLUSH = 200_000
 
 
@@ -111,11 +118,12 @@ def _blocks(budget: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def walk(keys: np.ndarray, group: np.ndarray, side: np.ndarray, err: np.ndarray, depth: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
+def walk(keys: np.ndarray, group: np.ndarray, side: np.ndarray, err: np.ndarray, depth: np.ndarray, budget: int, leaf: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Indexes of linked pairs. Rows are sorted by (group, side, key); bits above ``depth`` are settled with ``err``.
 
     Side 0: the cell is a node paired with itself; 1 and 2: its two nodes differ.
-    The frontier holds the node pairs of all cells at one level of the trie.
+    The frontier holds the node pairs of all cells at one level of the trie. Node
+    pairs with at most ``leaf`` pairs of keys leave it, and their keys' bits are counted.
     """
     none = np.zeros(0, np.int64)
     if not len(keys):
@@ -149,6 +157,13 @@ def walk(keys: np.ndarray, group: np.ndarray, side: np.ndarray, err: np.ndarray,
             alive = (now[4] <= budget) & np.where(now[5] == 1, now[1] - now[0] > 1, (now[1] > now[0]) & (now[3] > now[2]))
             now = now[:, alive]
         front = np.concatenate([held, now], axis=1)
+        if leaf:
+            few = (front[6] <= level + 1) & ((front[1] - front[0]) * (front[3] - front[2]) <= leaf)
+            for i, j in _leaves(front[:, few]):
+                near = np.bitwise_count(keys[i] ^ keys[j]) <= budget
+                left.append(i[near])
+                right.append(j[near])
+            front = front[:, ~few]
     for x in range(front.shape[1]):
         a0, a1, b0, b1, _, own, _ = front[:, x]
         if not own:
@@ -157,6 +172,17 @@ def walk(keys: np.ndarray, group: np.ndarray, side: np.ndarray, err: np.ndarray,
     return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
 
 
+def _leaves(front: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of keys of the node pairs, each once."""
+    for at in range(0, front.shape[1], 20_000):
+        a0, a1, b0, b1, _, own, _ = front[:, at : at + 20_000]
+        wide, many = b1 - b0, (a1 - a0) * (b1 - b0)
+        nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        i, j = np.repeat(a0, many) + nth // np.repeat(wide, many), np.repeat(b0, many) + nth % np.repeat(wide, many)
+        once = (np.repeat(own, many) == 0) | (i < j)
+        yield i[once], j[once]
+
+
 def forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """The smallest index that each of n nodes reaches over the links."""
     low = np.arange(n)
@@ -270,24 +296,124 @@ def jaccard(a: bytes, b: bytes, width: int) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
-def _signature(found: list[int], turns: np.ndarray) -> np.ndarray:
-    """The least of the hashes under each of the turns."""
-    least = np.full(len(turns), np.iinfo(np.uint64).max)
-    for at in range(0, len(found), 4096):
-        least = np.minimum(least, (np.array(found[at : at + 4096], np.uint64) * turns[:, None]).min(1))
-    return least
+def plan(texts: int, least: float) -> tuple[int, int, int, int, int, int]:
+    """For texts of a similarity of ``least`` or more: bits of a block, blocks of a text, its fingerprints, and the bits that may differ in the one with the block, in that and the next, and in all.
+
+    A bit differs in the share of pairs that the angle of their shingles takes of a half turn. All but MISS of the
+    pairs at ``least`` agree in some block, and the budgets are four deviations above the mean.
+    """
+    differ = math.acos(min(1.0, 2 * least / (1 + least))) / math.pi
+    width = min(32, max(LEAST_BITS, math.ceil(math.log2(max(texts, 1) / OCCUPANCY))))
+    blocks = 1 if not differ else math.ceil(math.log(MISS) / math.log1p(-((1 - differ) ** width)))
+    over = lambda bits: math.ceil(bits * differ + 4 * math.sqrt(bits * differ * (1 - differ)))
+    prints = max(2, math.ceil(blocks / (BITS // width)))
+    return width, blocks, prints, over(BITS - width), over(2 * BITS - width), over(prints * BITS)
+
+
+def _mixed(hashes: np.ndarray, turn: int) -> np.ndarray:
+    """Hashes of the hashes, for the fingerprint of each turn."""
+    x = hashes + np.uint64((turn * 0x9E3779B97F4A7C15) % (1 << 64))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _several(found: list[int], prints: int) -> np.ndarray:
+    """SimHash fingerprints of a text's set of shingles. A tie of votes goes as the least hash, else short texts would crowd at zero."""
+    some = np.unique(np.array(found, np.uint64))
+    out = np.zeros(prints, np.uint64)
+    if len(some):
+        least = some[:1]
+        for turn in range(prints):
+            votes = np.zeros(BITS, np.int64)
+            for at in range(0, len(some), _FLUSH):
+                votes += np.unpackbits(_mixed(some[at : at + _FLUSH], turn).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int32)
+            tie = np.unpackbits(_mixed(least, turn).astype(">u8").view(np.uint8))
+            out[turn] = np.packbits(2 * votes + tie > len(some)).view(">u8")[0]
+    return out
+
+
+def _print_batches(width: int, prints: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        made = [_several(shingle_hashes(text.as_py() or b"", width), prints) for text in batch.column(1)]
+        starts = pa.array(np.arange(0, len(made) * prints + 1, prints, dtype=np.int32))
+        flat = np.concatenate(made).view(np.int64) if made else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(starts, pa.array(flat))], ["node", "prints"])
+
+
+def _near_in_cells(one: int, two: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by cell; the texts of a cell that have others within both budgets, under a key for each component of these."""
+
+    def done(t: pa.Table) -> pa.RecordBatch:
+        cell, node, key, more, depth = (t.column(k).to_numpy() for k in range(5))
+        key = key.view(np.uint64)
+        order = np.lexsort((key, cell))
+        cell, node, key, more, depth = (x[order] for x in (cell, node, key, more, depth))
+        none = np.zeros(len(key), np.int64)
+        left, right = walk(key, cell, none, none, depth, one, leaf=64)
+        near = np.bitwise_count(key[left] ^ key[right]).astype(int) + np.bitwise_count((more[left] ^ more[right]).view(np.uint64)) <= two
+        low = forest(len(key), left[near], right[near])
+        on = np.flatnonzero(np.bincount(low, minlength=len(low))[low] > 1)
+        names = cell.view(np.uint64)[on] ^ _mixed(key[low[on]], 1)
+        return pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(node[on])], ["key", "node"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) < 4 * CELL:
+            continue
+        t = pa.Table.from_batches(held).combine_chunks()
+        cells = t.column(0).to_numpy()
+        end = int(np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]])[-1])  # the last cell may go on in the next batch
+        for part in _pieces(t.slice(0, end)):
+            yield done(part)
+        held = t.slice(end).to_batches()
+    if held:
+        for part in _pieces(pa.Table.from_batches(held).combine_chunks()):
+            yield done(part)
+
 
+def near_keys(docs: DataFrame, texts: int, width: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """(key, node): texts of ``docs`` (node, text) whose fingerprints are few bits apart share a key. And (node, prints): all fingerprints.
 
-def _bands(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    turns = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+    Cells are the blocks of the rotated fingerprints, walked as tries as in ``links``, with the budgets of ``plan``.
+    A cell with more than CELL texts is one key, whatever the bits below.
+    """
+    bits, blocks, prints, one, two, _ = plan(texts, least)
+    made = docs.mapInArrow(lambda b: _print_batches(width, prints, b), "node bigint, prints array<bigint>")
+    made = cut(made.groupBy("node").agg(F.first("prints").alias("prints")))
+    per = BITS // bits
+    place = made.select("node", "prints", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    place = place.withColumn("of", F.expr(f"cast(block div {per} as int)")).withColumn("by", F.expr(f"cast(block % {per} * {bits} as int)"))
+    place = place.select("node", "block", "by", F.expr("prints[of]").alias("fp"), F.expr(f"prints[(of + 1) % {prints}]").alias("more"))
+    rows = place.select("node", "block", F.expr(f"shiftleft(fp, by) | shiftrightunsigned(fp, ({BITS} - by) % {BITS})").alias("key"), "more")
+    rows = rows.select(F.xxhash64("block", F.shiftrightunsigned("key", BITS - bits)).alias("cell"), "node", "key", "more", F.lit(bits).alias("depth"))
+    hot = cut(rows.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > CELL).select("cell"))
+    cold = rows.join(hot, "cell", "left_anti").repartition("cell").sortWithinPartitions("cell")
+    found = cold.mapInArrow(lambda b: _near_in_cells(one, two, b), "key bigint, node bigint")
+    return found.union(rows.join(hot, "cell", "left_semi").select(F.col("cell").alias("key"), "node")), made
+
+
+def _settle(width: int, least: float, budget: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by component and rank; what goes: a text that is a copy of an earlier one of its component that stays."""
+    at, heads, prints = None, [], np.zeros((0, 0), np.uint64)
     for batch in batches:
-        keys = []
-        for text in batch.column(1):
-            rows = _signature(shingle_hashes(text.as_py() or b"", width), turns).reshape(BANDS, BAND_ROWS)
-            keys += [xxhash.xxh64_intdigest(row.tobytes(), band) for band, row in enumerate(rows)]
-        starts = np.arange(0, len(keys) + 1, BANDS, dtype=np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(starts), pa.array(np.array(keys, np.uint64).view(np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["node", "keys"])
+        gone = []
+        for group, node, own, text in zip(*batch.columns, strict=True):
+            mine, own = np.unique(np.array(shingle_hashes(text.as_py(), width), np.uint64)), own.values.to_numpy().view(np.uint64)
+            if group.as_py() != at:
+                at, heads, prints = group.as_py(), [], np.zeros((16, len(own)), np.uint64)
+            for k in np.flatnonzero(np.bitwise_count(prints[: len(heads)] ^ own).sum(1, dtype=np.int64) <= budget):
+                both = len(np.intersect1d(heads[k], mine, assume_unique=True))
+                if both >= least * (len(heads[k]) + len(mine) - both):
+                    gone.append(node.as_py())
+                    break
+            else:
+                if len(heads) == len(prints):
+                    prints = np.concatenate([prints, np.zeros_like(prints)])
+                prints[len(heads)] = own
+                heads.append(mine)
+        yield pa.RecordBatch.from_arrays([pa.array(gone, pa.int64())], ["node"])
 
 
 def _copies(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
@@ -362,8 +488,10 @@ def _pairs(live: DataFrame, heads: DataFrame, known: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, least: float = 0.8) -> DataFrame:
     """The rows of ``docs`` without those whose text is a copy of one that stays and comes first by id.
 
-    A copy's shingles have a Jaccard similarity of ``least`` or more with the other's. Texts that share one of
-    BANDS keys, each of BAND_ROWS least hashes, are candidates: at 0.8 all but 6 in 100,000 pairs. All texts of
+    A copy's shingles have a Jaccard similarity of ``least`` or more with the other's. Texts that share one of the
+    keys of their SimHash fingerprints are candidates: by ``plan`` all but some 1 in 10,000 pairs. A component of
+    candidates of at most WHOLE texts and WHOLE_BYTES is settled by one task, text by text in their order: a text is
+    compared with those that stay whose fingerprints are within the budget. Larger ones go in rounds. All texts of
     a key are held against each other, or if it has more than CROWD against its first PIVOTS ones; what that
     settles leaves its keys, and the rest goes on until all is settled, with as many more pivots as fewer rows
     are left, so that a round has at most PIVOTS pairs for each row of the first. So no two candidates that both stay are
@@ -375,9 +503,20 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     times = cut(named.groupBy("_id", "node").agg(F.count("*").alias("times")))
     firsts = cut(times.groupBy("node").agg(F.min(F.struct(F.col("_id").isNull().alias("last"), "_id")).alias("first")))
     some = named.select("node", "text")
-    keys = some.mapInArrow(lambda b: _bands(width, b), "node bigint, keys array<bigint>").select("node", F.explode("keys").alias("key")).distinct()
-    live = cut(keys.join(small(firsts), "node").select("key", F.struct("first", "node").alias("rank")))
-    texts = beaten = whole = None
+    count = firsts.count()
+    keys, prints = near_keys(some, count, width, least)
+    keys = cut(keys.distinct())
+    stars = keys.join(small(keys.groupBy("key").agg(F.min("node").alias("u"))), "key").select("u", F.col("node").alias("v"))
+    groups = cut(connected_components(stars))
+    near = cut(groups.select("node"))
+    texts = cut(sieved(some, "node", near).join(small(near), "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")))
+    sizes = groups.join(small(texts), "node").groupBy("root").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("bytes"))
+    alone = cut(groups.join(small(sizes.where((F.col("n") <= WHOLE) & (F.col("bytes") <= WHOLE_BYTES)).select("root")), "root", "left_semi"))
+    rows = alone.join(small(firsts), "node").join(small(prints), "node").join(small(texts), "node").repartition("root").sortWithinPartitions("root", "first", "node")
+    budget = plan(count, least)[-1]
+    beaten = cut(rows.select("root", "node", "prints", "text").mapInArrow(lambda b: _settle(width, least, budget, b), "node bigint"))
+    live = cut(keys.join(small(alone.select("node")), "node", "left_anti").join(small(firsts), "node").select("key", F.struct("first", "node").alias("rank")))
+    whole = None
     while True:
         sizes = cut(live.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
         live = cut(live.join(small(sizes), "key").select("key", "rank", "n"))
@@ -387,9 +526,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
         whole = whole or rows
         pivots = min(MOST_PIVOTS, PIVOTS * whole // rows)
         crowd = max(CROWD, pivots)
-        if texts is None:
-            near = cut(live.select(F.col("rank.node").alias("node")).distinct())
-            texts = cut(sieved(some, "node", near).join(small(near), "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")))
         place = F.row_number().over(Window.partitionBy("key").orderBy("rank"))
         heads = live.withColumn("place", place).where(F.col("place") <= crowd).where((F.col("n") <= crowd) | (F.col("place") <= pivots))
         heads = cut(heads.select("key", "rank"))
@@ -397,11 +533,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
         known = cut(both.groupBy("node").agg(F.sum("n").alias("n")).where("n = 0").select("node"))
         edges = cut(_copies(cut(_pairs(live, heads, known)), texts, width, least))
         gone, left = _beaten(edges, known)
-        beaten = gone if beaten is None else beaten.union(gone)
+        beaten = beaten.union(gone)
         stays = known.join(small(left.select(F.col("b").alias("node")).distinct()), "node", "left_anti")
         settled = small(gone.union(stays).distinct())
         live = live.select("key", "rank").join(settled, F.col("rank.node") == settled.node, "left_anti")
-    beaten = firsts.select("node").limit(0) if beaten is None else beaten
     stay = firsts.join(small(beaten.distinct()), "node", "left_anti").select(F.col("first._id").alias("_own"), F.col("node").alias("_node"))
     stay = cut(stay.join(times, stay["_own"].eqNullSafe(times["_id"]) & (stay["_node"] == times["node"])).select("_own", "_node", "times"))
     rows = named.drop("text")
