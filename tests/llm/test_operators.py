@@ -70,6 +70,22 @@ def test_toxicity(spark):
     assert toxicity.learn(none(spark), labels).thresholds == {"": 0.5}
 
 
+def test_toxicity_learns_from_all_labels(spark, monkeypatch):
+    """A word that only few of many labelled texts have is learned, in one shard and in several."""
+    r = random.Random(2)
+    rows = [(i, " ".join(str(r.randrange(300)) for _ in range(8)) + f" {'vile' if i % 2 else 'fine'}{i % 2000 // 2}", i % 2) for i in range(9000)]
+    docs, labels = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int").drop("toxic"), spark.createDataFrame([x[::2] for x in rows], "doc_id bigint, toxic int")
+    seen = []
+    begin = toxicity.begin
+    monkeypatch.setattr(toxicity, "begin", lambda s, t: seen.append(t.tolist()) or begin(s, t))
+    for shard in (8000, 1500):
+        monkeypatch.setattr(toxicity, "SHARD", shard)
+        model = toxicity.learn(docs, labels)
+        got = {x["doc_id"]: x["predicted"] for x in toxicity.score(docs, model).collect()}
+        assert sum(got[i] == y for i, _, y in rows) > 8900
+    assert seen[0] == seen[1] and sum(seen[0]) > 6800  # four fifths of 9000
+
+
 def test_convolution_by_hand():
     rng = np.random.default_rng(0)
     model = toxicity.Model(rng.normal(size=(toxicity.BUCKETS, toxicity.TOTAL)).astype(np.float32), rng.normal(size=24).astype(np.float32), rng.normal(size=24).astype(np.float32), 0.1, {"": 0.5})
