@@ -266,6 +266,31 @@ def test_keep_one_in_tasks_and_in_rounds(spark, monkeypatch, whole, cell):
     assert sorted(x["doc_id"] for x in kept.collect() if x["doc_id"] is not None) == want
 
 
+def test_keep_one_settles_stretch_by_stretch(spark, monkeypatch):
+    """A component too large for one task takes a few checkpoints, not rounds with dozens each, and the same texts stay."""
+    made, cut = [], simhash.cut
+    monkeypatch.setattr(simhash, "WHOLE", 16)
+    monkeypatch.setattr(simhash, "CROWD", 8)
+    monkeypatch.setattr(simhash, "cut", lambda df: made.append(1) or cut(df))
+    r = random.Random(14)
+    words = [str(r.randrange(5000)) for _ in range(200)]
+    texts, want = [edits(words, set(r.sample(range(200), r.randint(0, 7))), f"x{k % 3}") for k in range(120)], []
+    for i, t in enumerate(texts):
+        if all(shingle_jaccard(t, texts[k]) < 0.8 for k in want):
+            want.append(i)
+    kept = simhash.keep_one(frame(spark, texts), width=5)
+    assert sorted(x["doc_id"] for x in kept.collect() if x["doc_id"] is not None) == want
+    assert len(made) <= 14 + -(-120 // 16)
+
+
+def test_components_of_few_links(spark):
+    r = random.Random(15)
+    edges = [(r.randrange(3000), r.randrange(3000)) for _ in range(2000)] + [(None, 3), (7, 7), (-5, 2**62)]
+    frame = spark.createDataFrame(edges, "u bigint, v bigint")
+    assert sorted(common.connected_components(frame, 5000).collect()) == sorted(common.connected_components(frame).collect())
+    assert common.connected_components(frame.where("false"), 5000).count() == 0
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (5, 4), (9, 9), (None, 3)] + [(k, k + 1) for k in range(100, 160)] + [(1000, k) for k in range(1001, 1100)]
     got = {r["node"]: r["root"] for r in common.connected_components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}

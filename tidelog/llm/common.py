@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.session import cut, scratch, shared_dir
+from tidelog.session import cut, scratch, shared_dir, tidy
 
-__all__ = ["connected_components", "cut", "packed", "quoted", "scratch", "shared_dir", "sieved", "table", "together"]
+__all__ = ["connected_components", "cut", "packed", "quoted", "scratch", "shared_dir", "sieved", "table", "tidy", "together"]
 #: Rows of 64 bits that a sieve has at most: 4 MB, whatever is sieved.
 SIEVE = 1 << 18
 
@@ -54,15 +56,33 @@ def sieved(df: DataFrame, name: str, some: DataFrame) -> DataFrame:
     return rows.where(F.expr("shiftright(_bits, _bit) & 1L = 1L")).select(*[F.col(quoted(c)) for c in df.columns])
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def _rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every root with a smaller neighbour goes below the smallest of these, so each pass at least halves the roots that have links."""
+    t = pa.Table.from_batches(list(batches), pa.schema([("u", pa.int64()), ("v", pa.int64())]))
+    names, at = np.unique(np.concatenate([t.column(0).to_numpy(), t.column(1).to_numpy()]), return_inverse=True)
+    low, a, b = np.arange(len(names)), at[: t.num_rows], at[t.num_rows :]
+    while len(a):
+        np.minimum.at(low, np.maximum(a, b), np.minimum(a, b))
+        while (low != low[low]).any():
+            low = low[low]
+        a, b = low[a], low[b]
+        a, b = a[a != b], b[a != b]
+    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(names[low])], ["node", "root"])
+
+
+def connected_components(edges: DataFrame, few: int = 0) -> DataFrame:
     """(node, root) for every node of ``edges`` (u, v: of one type with an order); root is the smallest node reachable.
 
+    Up to ``few`` edges, which have to be bigints then, are settled by one task; more of them as follows.
+
     Alternating large-star and small-star contractions. Each is an aggregation
     with map-side combining and an equi-join, so a hub's edges are never in one
     task; the driver sees only a count and a checksum. Null ends and loops are
     ignored; no edges give no rows.
     """
     edges = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    if few and edges.count() <= few:
+        return edges.coalesce(1).mapInArrow(_rooted, "node bigint, root bigint")
     before = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

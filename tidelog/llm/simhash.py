@@ -28,20 +28,23 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidelog.llm.common import connected_components, cut, packed, quoted, sieved
+from tidelog.llm.common import connected_components, cut, packed, quoted, sieved, tidy
 
 BITS, SEED, SHINGLE, BUDGET = 64, 42, 3, 2
 #: Fingerprints that one trie walk holds; a larger cell is split by its next STEP bits.
 CELL, STEP = 1024, 8
 #: ``keep_one``: share of the pairs at the least similarity that agree in no block; texts in a block's cell, on average, and least bits of a block.
 MISS, OCCUPANCY, LEAST_BITS = 1e-4, 64, 8
-#: ``keep_one``: texts, and bytes of them, of a component that one task settles; larger ones are settled in rounds.
-WHOLE, WHOLE_BYTES = 4096, 1 << 25
+#: ``keep_one``: texts, and bytes of them, of a component that one task settles; and of how many times that the texts are settled so one after the other, larger components in rounds.
+WHOLE, WHOLE_BYTES, STRETCHES = 4096, 1 << 25, 16
+#: ``keep_one``: links between candidates that one task makes components of, 16 MB.
+LINKS = 1 << 20
 #: ``keep_one``: texts under a key that are all paired, else how many of them are with all at first, and at most; heads of a block, and texts that one copy of it serves.
 CROWD, PIVOTS, MOST_PIVOTS, BLOCK, HEAD = 64, 8, 512, 16, 128
 _FLUSH = 200_000
@@ -394,26 +397,58 @@ def near_keys(docs: DataFrame, texts: int, width: int, least: float) -> tuple[Da
     return found.union(rows.join(hot, "cell", "left_semi").select(F.col("cell").alias("key"), "node")), made
 
 
-def _settle(width: int, least: float, budget: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by component and rank; what goes: a text that is a copy of an earlier one of its component that stays."""
+#: Columns of ``_settle``.
+_STRETCH = "root bigint, stretch int, last int, place int, node bigint, prints array<bigint>, text binary, as int"
+_GONE, _HEAD, _WAITS = range(3)
+
+
+def _settle(width: int, least: float, budget: int, now: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by component, stretch and place: first the heads of the stretch before ``now``, then a stretch's texts.
+
+    A text that is a copy of a head goes. Of the stretch ``now`` the others become heads, against which its later
+    texts are held too; those of later stretches wait. Heads are returned only if a later stretch needs them.
+    """
     at, heads, prints = None, [], np.zeros((0, 0), np.uint64)
     for batch in batches:
-        gone = []
-        for group, node, own, text in zip(*batch.columns, strict=True):
+        rows, kinds = [], []
+        for nth, (root, stretch, last, _, _, own, text, kind) in enumerate(zip(*batch.columns, strict=True)):
             mine, own = np.unique(np.array(shingle_hashes(text.as_py(), width), np.uint64)), own.values.to_numpy().view(np.uint64)
-            if group.as_py() != at:
-                at, heads, prints = group.as_py(), [], np.zeros((16, len(own)), np.uint64)
-            for k in np.flatnonzero(np.bitwise_count(prints[: len(heads)] ^ own).sum(1, dtype=np.int64) <= budget):
+            if (here := (root.as_py(), stretch.as_py())) != at:
+                at, heads, prints = here, [], np.zeros((16, len(own)), np.uint64)
+            given = kind.as_py() == _HEAD
+            for k in () if given else np.flatnonzero(np.bitwise_count(prints[: len(heads)] ^ own).sum(1, dtype=np.int64) <= budget):
                 both = len(np.intersect1d(heads[k], mine, assume_unique=True))
                 if both >= least * (len(heads[k]) + len(mine) - both):
-                    gone.append(node.as_py())
+                    rows.append(nth)
+                    kinds.append(_GONE)
                     break
             else:
-                if len(heads) == len(prints):
-                    prints = np.concatenate([prints, np.zeros_like(prints)])
-                prints[len(heads)] = own
-                heads.append(mine)
-        yield pa.RecordBatch.from_arrays([pa.array(gone, pa.int64())], ["node"])
+                if given or at[1] == now:
+                    if len(heads) == len(prints):
+                        prints = np.concatenate([prints, np.zeros_like(prints)])
+                    prints[len(heads)] = own
+                    heads.append(mine)
+                if not given and now < last.as_py():
+                    rows.append(nth)
+                    kinds.append(_HEAD if at[1] == now else _WAITS)
+        some, kind = batch.take(pa.array(rows, pa.int64())), pa.array(kinds, pa.int32())
+        body = pc.if_else(pc.equal(kind, _GONE), pa.scalar(b""), some.column(6))
+        yield pa.RecordBatch.from_arrays([*some.columns[:6], body, kind], batch.schema.names)
+
+
+def _settled(rows: DataFrame, stretches: int, width: int, least: float, budget: int) -> DataFrame:
+    """(node) of what goes; ``rows`` are those of ``_settle``. Each stretch of a component is one task's, after those before it."""
+    gone = None
+    for now in range(stretches):
+        place = ["root", "stretch"]
+        dealt = rows.repartition(*place).sortWithinPartitions(*place, F.col("as") != _HEAD, "place")
+        made = cut(dealt.mapInArrow(lambda b, now=now: _settle(width, least, budget, now, b), _STRETCH))
+        went = made.where(F.col("as") == _GONE).select("node")
+        gone = went if gone is None else gone.union(went)
+        later = made.where(F.col("as") == _HEAD).withColumn("stretch", F.explode(F.sequence(F.lit(now + 1), F.col("last"))))
+        rows = made.where(F.col("as") == _WAITS).union(later)
+        tidy(rows.sparkSession)
+    return cut(gone)
 
 
 def _copies(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
@@ -491,7 +526,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     A copy's shingles have a Jaccard similarity of ``least`` or more with the other's. Texts that share one of the
     keys of their SimHash fingerprints are candidates: by ``plan`` all but some 1 in 10,000 pairs. A component of
     candidates of at most WHOLE texts and WHOLE_BYTES is settled by one task, text by text in their order: a text is
-    compared with those that stay whose fingerprints are within the budget. Larger ones go in rounds. All texts of
+    compared with those that stay whose fingerprints are within the budget. Up to STRETCHES times that are settled
+    likewise, a stretch of the order after the other, each held against what stays of those before it. Larger ones go in rounds. All texts of
     a key are held against each other, or if it has more than CROWD against its first PIVOTS ones; what that
     settles leaves its keys, and the rest goes on until all is settled, with as many more pivots as fewer rows
     are left, so that a round has at most PIVOTS pairs for each row of the first. So no two candidates that both stay are
@@ -507,15 +543,24 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     keys, prints = near_keys(some, count, width, least)
     keys = cut(keys.distinct())
     stars = keys.join(small(keys.groupBy("key").agg(F.min("node").alias("u"))), "key").select("u", F.col("node").alias("v"))
-    groups = cut(connected_components(stars))
+    groups = cut(connected_components(stars, LINKS))
     near = cut(groups.select("node"))
     texts = cut(sieved(some, "node", near).join(small(near), "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")))
-    sizes = groups.join(small(texts), "node").groupBy("root").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("bytes"))
-    alone = cut(groups.join(small(sizes.where((F.col("n") <= WHOLE) & (F.col("bytes") <= WHOLE_BYTES)).select("root")), "root", "left_semi"))
-    rows = alone.join(small(firsts), "node").join(small(prints), "node").join(small(texts), "node").repartition("root").sortWithinPartitions("root", "first", "node")
+    sizes = groups.join(small(texts), "node").select("root", "node", F.length("text").cast("bigint").alias("bytes"))
+    totals = sizes.groupBy("root").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    bounded = totals.where((F.col("n") <= STRETCHES * WHOLE) & (F.col("bytes") <= STRETCHES * WHOLE_BYTES))
+    at_once = (F.col("n") <= WHOLE) & (F.col("bytes") <= WHOLE_BYTES)
+    bounded = bounded.select("root", F.when(at_once, 0.0).otherwise(1.0).alias("share"))
+    ranked = Window.partitionBy("root").orderBy("first", "node")
+    share = F.greatest(F.lit(1 / max(WHOLE, 1)), F.col("bytes") / F.lit(float(WHOLE_BYTES))) * F.col("share")
+    own = sizes.join(small(bounded), "root").join(small(firsts), "node").withColumn("share", share)
+    own = own.select("root", "node", F.row_number().over(ranked).alias("place"), F.floor(F.sum("share").over(ranked.rowsBetween(Window.unboundedPreceding, 0)) - F.col("share")).cast("int").alias("stretch"))
+    own = cut(own.withColumn("last", F.max("stretch").over(Window.partitionBy("root"))))
+    tidy(docs.sparkSession)
     budget = plan(count, least)[-1]
-    beaten = cut(rows.select("root", "node", "prints", "text").mapInArrow(lambda b: _settle(width, least, budget, b), "node bigint"))
-    live = cut(keys.join(small(alone.select("node")), "node", "left_anti").join(small(firsts), "node").select("key", F.struct("first", "node").alias("rank")))
+    rows = own.join(small(prints), "node").join(small(texts), "node").select("root", "stretch", "last", "place", "node", "prints", "text", F.lit(_WAITS).alias("as"))
+    beaten = _settled(rows, 1 + (own.agg(F.max("last")).first()[0] or 0), width, least, budget)
+    live = cut(keys.join(small(own.select("node")), "node", "left_anti").join(small(firsts), "node").select("key", F.struct("first", "node").alias("rank")))
     whole = None
     while True:
         sizes = cut(live.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
@@ -537,6 +582,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
         stays = known.join(small(left.select(F.col("b").alias("node")).distinct()), "node", "left_anti")
         settled = small(gone.union(stays).distinct())
         live = live.select("key", "rank").join(settled, F.col("rank.node") == settled.node, "left_anti")
+        tidy(docs.sparkSession)
     stay = firsts.join(small(beaten.distinct()), "node", "left_anti").select(F.col("first._id").alias("_own"), F.col("node").alias("_node"))
     stay = cut(stay.join(times, stay["_own"].eqNullSafe(times["_id"]) & (stay["_node"] == times["node"])).select("_own", "_node", "times"))
     rows = named.drop("text")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -34,6 +35,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark delete checkpoints and shuffle files that nothing refers to any more, which else waits until the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def scratch(spark: SparkSession, kind: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark)}/tidelog-{kind}-{uuid.uuid4().hex}"
