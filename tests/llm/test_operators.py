@@ -86,6 +86,20 @@ def test_toxicity_learns_from_all_labels(spark, monkeypatch):
     assert seen[0] == seen[1] and sum(seen[0]) > 6800  # four fifths of 9000
 
 
+def test_toxicity_shuffles_texts_once(spark, monkeypatch):
+    """What is written is dealt into shards already, each text with each label of its id."""
+    made, cut = [], toxicity.cut
+    monkeypatch.setattr(toxicity, "cut", lambda df: made.append(cut(df)) or made[-1])
+    monkeypatch.setattr(toxicity, "SHARD", 30)
+    texts, y = toxic_data(120)
+    docs = spark.createDataFrame([*enumerate(texts), (5, "again"), (5, "again")], "doc_id bigint, text string")
+    toxicity.learn(docs, spark.createDataFrame([*enumerate(y), (5, 0), (999, 1)], "doc_id int, toxic int"))
+    found = made[-1]
+    learned = found.where("not _kept").count()
+    assert found.rdd.getNumPartitions() == round(learned / 30) > 1
+    assert found.count() == 120 + 2 * 2 + 1 and found.where("_id = 5").count() == 6
+
+
 def test_convolution_by_hand():
     rng = np.random.default_rng(0)
     model = toxicity.Model(rng.normal(size=(toxicity.BUCKETS, toxicity.TOTAL)).astype(np.float32), rng.normal(size=24).astype(np.float32), rng.normal(size=24).astype(np.float32), 0.1, {"": 0.5})

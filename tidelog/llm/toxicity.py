@@ -30,8 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import scratch, sieved, together
-from tidelog.session import Files
+from tidelog.llm.common import cut, sieved, together
 
 #: Labelled rows that one task trains on, on average, and values of the model that are summed together.
 SHARD, CHUNK = 8000, 1 << 14
@@ -210,6 +209,25 @@ def calibrate(score: np.ndarray, y: np.ndarray, langs: list[str | None], count:
     return {"": 0.5} | out
 
 
+def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by id, labels before texts; each text with each label of its id."""
+    at, labels = None, []
+    for batch in batches:
+        rows, ys, kept = [], [], []
+        for nth, (name, y, k) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 3, 4)), strict=True)):
+            if name != at:
+                at, labels = name, []
+            if y is not None:
+                labels.append((y, k))
+                continue
+            for y, k in labels:
+                rows.append(nth)
+                ys.append(y)
+                kept.append(k)
+        some = batch.take(pa.array(rows, pa.int64()))
+        yield pa.RecordBatch.from_arrays([*some.columns[:3], pa.array(ys, pa.int32()), pa.array(kept, pa.bool_())], batch.schema.names)
+
+
 def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts of each class that have a bucket."""
     seen = np.zeros((2, BUCKETS), np.int64)
@@ -249,26 +267,31 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, i
     rows = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
     rows = (rows if may_learn is None else rows.where(may_learn)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))
     lang = F.col(lang_col).cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
-    mine = sieved(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), lang.alias("_lang")), "_id", rows)
-    at = scratch(spark, "labelled")
-    mine.join(rows, "_id").withColumn("_kept", F.pmod(F.xxhash64("_id", F.lit("kept")), F.lit(5)) == 0).write.parquet(at)
-    found = spark.read.parquet(at)
-    some = found.where("not _kept")
+    # Ids alone say how many shards there are, so texts are shuffled once: a partition of what is written is a shard.
+    ids = docs.groupBy(F.col(id_col).alias("_id")).agg(F.count("*").alias("_times"))
+    is_kept = (F.pmod(F.xxhash64("_id", F.lit("kept")), F.lit(5)) == 0).alias("_kept")
+    known = cut(ids.join(rows, "_id").select(F.col("_id").cast("string").alias("_id"), "_y", is_kept, "_times"))
     totals = np.zeros(2)
-    for r in some.groupBy("_y").count().collect():
-        totals[r["_y"]] = r["count"]
+    for r in known.where("not _kept").groupBy("_y").agg(F.sum("_times").alias("n")).collect():
+        totals[r["_y"]] = r["n"]
+    mine = sieved(docs.select(F.col(id_col).cast("string").alias("_id"), F.col(text_col).alias("_text"), lang.alias("_lang")), "_id", known)
+    shards = max(1, round(totals.sum() / SHARD))
+    # The labels of an id come before its texts. A join in place of this would be free to deal the texts out anew.
+    texts = mine.select("_id", "_text", "_lang", F.lit(None).cast("int").alias("_y"), F.lit(None).cast("boolean").alias("_kept"))
+    both = known.select("_id", F.lit(None).cast("string").alias("_text"), F.lit(None).cast("string").alias("_lang"), "_y", "_kept").union(texts)
+    dealt = both.repartition(shards, "_id").sortWithinPartitions("_id", F.col("_y").isNull(), "_text", "_y")
+    found = cut(dealt.mapInArrow(_labelled, "_id string, _text string, _lang string, _y int, _kept boolean"))
+    some = found.where("not _kept")
     if not totals.all():
         share = float(totals[1] / totals.sum()) if totals.any() else 0.0
         const = float(np.clip(np.log((share + 1e-9) / (1 - share + 1e-9)), -20, 20))
-        Files(spark, at).delete("")
         return Model(np.zeros((BUCKETS, TOTAL), np.float32), np.zeros(len(WIDTHS) * FILTERS, np.float32), np.zeros(len(WIDTHS) * FILTERS, np.float32), const, {"": 0.5})
     counted = some.select("_text", "_y").mapInArrow(_seen, "at int, y int, n bigint").groupBy("at", "y").agg(F.sum("n").alias("n")).toPandas()
     seen = np.zeros((2, BUCKETS))
     seen[counted["y"], counted["at"]] = counted["n"]
     start, weights = begin(seen, totals), totals.sum() / (2 * totals)
     sent = spark.sparkContext.broadcast((start, weights))
-    shards = some.select(F.col("_id").cast("string").alias("_id"), "_text", "_y").repartition(max(1, round(totals.sum() / SHARD)), "_id").sortWithinPartitions("_id", "_text", "_y")
-    changes = shards.mapInArrow(lambda b: _changes(*sent.value, b), "chunk int, sums binary")
+    changes = some.select("_id", "_text", "_y").mapInArrow(lambda b: _changes(*sent.value, b), "chunk int, sums binary")
     added = changes.repartition("chunk").mapInArrow(_added, "chunk int, sums binary").toPandas().sort_values("chunk")["sums"]
     parts = [np.frombuffer(x).reshape(2, -1) for x in added]
     sums, n = np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts])
@@ -283,7 +306,6 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, i
     grouped = kept.groupBy("_y", "_lang", F.round(F.col("score") * STEPS).alias("at")).count().toPandas()
     if len(grouped):
         model.thresholds = calibrate(grouped["at"].to_numpy() / STEPS, grouped["_y"].to_numpy(), [x if isinstance(x, str) else None for x in grouped["_lang"]], grouped["count"].to_numpy())
-    Files(spark, at).delete("")
     return model
 
 
